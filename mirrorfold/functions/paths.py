@@ -47,7 +47,7 @@ def basename(path: Column) -> Column:
 
 def extension(name: Column) -> Column:
     """Last dot and what follows, '' if none; leading dots belong to the stem."""
-    return F.regexp_extract(name, r"(?s)^\.*[^.].*?(\.[^.]*)$", 1)
+    return F.regexp_extract(name, r"(?s)^\.*[^.].*?(\.[^.]*)\z", 1)
 
 
 def stem(name: Column) -> Column:
