@@ -5,11 +5,20 @@ from __future__ import annotations
 from .components import p5_found
 from .history import p4_found
 from .nearest import p1_found
+from .packing import p7_containers
+from .representative import p3_found, p3_records
+from .stuffing import p8_found
+from .tokens import p6_ids
 
 QUERIES = {
     "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p3_records": p3_records,
     "p4_found": p4_found,
     "p5_found": p5_found,
+    "p6_ids": p6_ids,
+    "p7_containers": p7_containers,
+    "p8_found": p8_found,
 }
 
 _WORDS = """('0x' || substr(hex({x}), 1, 16))::UHUGEINT::UBIGINT AS w1,
@@ -28,6 +37,27 @@ d AS (SELECT x.file_id AS x, y.file_id AS y, bit_count(xor(x.a0, y.a0))::INT + b
   FROM f x JOIN f y ON x.file_id <> y.file_id),
 r AS (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY d, y) AS r FROM d WHERE d <= 40)
 SELECT DISTINCT least(x, y) AS file_a, greatest(x, y) AS file_b FROM r WHERE r <= 3""",
+    "p3_found": r"""
+WITH RECURSIVE cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC) AS r FROM files) WHERE r = 1 AND status IS DISTINCT FROM 'corrupt'),
+m AS (SELECT DISTINCT group_id, file_id FROM group_members),
+g AS (SELECT id, any_value(run_id) AS run_id FROM groups GROUP BY id),
+c AS (SELECT m.group_id, f.id AS file_id, f.path, f.size, f.width::BIGINT * f.height::BIGINT AS px, coalesce(r.params.keep_by, 'size') AS k,
+  CASE WHEN f.mtime > 1e12 THEN f.mtime / 1000 ELSE f.mtime END AS t
+  FROM m JOIN cur f ON f.id = m.file_id LEFT JOIN g ON g.id = m.group_id LEFT JOIN analysis_runs r ON r.id = g.run_id),
+n AS (SELECT DISTINCT path, regexp_replace(regexp_extract(path, '[^/]*$'), '(.)\.[^.]*$', '\1') AS s, 0 AS p FROM c
+  UNION ALL SELECT path, CASE
+    WHEN regexp_matches(s, '(?i)\s*\((?:copy|копия|another copy|new copy)(?:\s+\d+)?\)$') THEN regexp_replace(s, '(?i)\s*\((?:copy|копия|another copy|new copy)(?:\s+\d+)?\)$', '')
+    WHEN regexp_matches(s, '(?i)\s*[—–-]\s*копия(?:\s*\(\d+\))?$') THEN regexp_replace(s, '(?i)\s*[—–-]\s*копия(?:\s*\(\d+\))?$', '')
+    WHEN regexp_matches(s, '(?i)\s*-\s*copy(?:\s*\(\d+\))?$') THEN regexp_replace(s, '(?i)\s*-\s*copy(?:\s*\(\d+\))?$', '')
+    WHEN regexp_matches(s, '\s*\(\d{1,4}\)$') THEN regexp_replace(s, '\s*\(\d{1,4}\)$', '')
+    WHEN regexp_matches(s, '(?i)-edited$') THEN regexp_replace(s, '(?i)-edited$', '')
+    ELSE regexp_replace(s, '(?i)\s*\(edited\)$', '') END, p + 1 FROM n
+  WHERE p < 10 AND regexp_matches(s, '(?i)(\((copy|копия|another copy|new copy)(\s+\d+)?\)|[—–-]\s*копия(\s*\(\d+\))?|-\s*copy(\s*\(\d+\))?|\(\d{1,4}\)|-edited|\(edited\))$')),
+q AS (SELECT path, max(p) AS marks FROM n GROUP BY path),
+o AS (SELECT c.*, CASE WHEN isnan(t) OR t <= 0 OR t > 1767225600 THEN NULL ELSE t END AS tt, marks FROM c LEFT JOIN q USING (path))
+SELECT group_id, file_id FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY
+  CASE k WHEN 'pixels' THEN -coalesce(px, 0)::DOUBLE WHEN 'capture' THEN tt ELSE -coalesce(size, -1)::DOUBLE END NULLS LAST,
+  CASE k WHEN 'pixels' THEN -coalesce(size, -1) WHEN 'capture' THEN marks ELSE 0 END, encode(path), file_id) AS r FROM o) WHERE r = 1""",
     "p4_found": f"""
 WITH i AS (SELECT DISTINCT batch_no, file_id, path, phashes FROM incoming),
 q AS (SELECT DISTINCT batch_no, file_id, p FROM (SELECT batch_no, file_id, unnest(phashes) AS p FROM i) WHERE p IS NOT NULL),
