@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.hashes import bucket
-from .operators import skew
-from .shared import table
+from .operators import graph, skew
+from .operators.hamming import bucket_links
+from .plans import catalog, jobs, move, overrides, reports
+from .shared import cut, table
+from .sources.listing import wanted
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,3 +58,408 @@ def p2_bucket_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median and 90th percentile of the file ids of every clean bucket."""
     h = table(spark, sf_dir, "hashes").filter("phash is not null").select(bucket(F.col("phash")).alias("hash_part"), "file_id")
     return skew.key_percentiles(h, ["hash_part"], "file_id", [0.5, 0.9])
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# Shared inputs. AS_OF is the fixed "now" of the queue queries; jobs and journal are views of the events table.
+
+AS_OF = "2024-01-16 00:00:00"
+_JOBS = f"""jobs AS (SELECT event_id AS id, CASE user_id % 5 WHEN 0 THEN 'scan' WHEN 1 THEN 'analyze' WHEN 2 THEN 'move' WHEN 3 THEN 'run' ELSE 'undo' END AS command,
+  CASE event_type WHEN 'view' THEN 'queued' WHEN 'signup' THEN 'done' WHEN 'click' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'stopped' END AS state,
+  CASE WHEN user_id % 3 > 0 THEN ts + INTERVAL '36' HOUR END AS scheduled_at, CASE WHEN value > 1 THEN ts END AS heartbeat_at FROM events)"""
+_CUR = "cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC NULLS LAST, status, size) AS r FROM files) WHERE r = 1)"
+_MEM = "mem AS (SELECT DISTINCT group_id, file_id, role, moved_to FROM group_members)"
+_GRP = "grp AS (SELECT id, any_value(run_id) AS run_id, any_value(total_size) AS total_size, any_value(confirmed) AS confirmed, any_value(member_count) AS member_count, any_value(kept_path) AS kept_path FROM groups GROUP BY id)"
+
+
+def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "events").createOrReplaceTempView("_mf_events")
+    return spark.sql(f"WITH {_JOBS.replace('FROM events', 'FROM _mf_events')} SELECT * FROM jobs")
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per group; repeated rows are equal."""
+    return table(spark, sf_dir, "groups").dropDuplicates(["id"])
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "group_members")
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.current(table(spark, sf_dir, "files"))
+
+
+def _as_of() -> Column:
+    return F.lit(AS_OF).cast("timestamp")
+
+
+# ---- sources, filters ------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT DISTINCT path FROM (SELECT path FROM files UNION ALL SELECT path FROM incoming)
+WHERE regexp_matches(path, '(?i)[^/]\\.(jpg|jpeg|png|webp|bmp|tif|tiff|gif)$') AND NOT regexp_matches(path, '/\\.') AND NOT starts_with(path, '/photos/Scans')""".replace("\\\\", "\\"))
+def SC1_wanted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of a listing by extension, without hidden ones and a trash folder."""
+    p = table(spark, sf_dir, "files").select("path").unionByName(table(spark, sf_dir, "incoming").select("path"))
+    # the trash folder is a name prefix here: no folder of the data is one exactly
+    return p.filter(wanted(F.col("path")) & ~F.col("path").startswith("/photos/Scans")).distinct()
+
+
+@query("SELECT count(*) AS n FROM files WHERE status <> 'moved'")
+def SC2_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of candidates of a scan."""
+    return table(spark, sf_dir, "files").filter("status <> 'moved'").agg(F.count("*").alias("n"))
+
+
+_LISTING = "listing AS (SELECT path, size, mtime FROM files UNION SELECT path, size, mtime FROM incoming)"
+_KNOWN = f"{_CUR}, known AS (SELECT path, size, mtime FROM cur WHERE status = 'corrupt' OR id IN (SELECT file_id FROM hashes))"
+
+
+def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = ["path", "size", "mtime"]
+    return table(spark, sf_dir, "files").select(*c).unionByName(table(spark, sf_dir, "incoming").select(*c)).distinct()
+
+
+@query(f"WITH {_LISTING}, {_KNOWN} SELECT l.path, l.size, l.mtime FROM listing l ANTI JOIN known k ON l.path = k.path AND l.size = k.size AND l.mtime = k.mtime")
+def F3_to_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a listing that need hashing."""
+    return catalog.to_scan(_listing(spark, sf_dir), table(spark, sf_dir, "files"), table(spark, sf_dir, "hashes"))
+
+
+@query(f"""WITH {_LISTING}, {_KNOWN}, todo AS (SELECT l.path FROM listing l ANTI JOIN known k ON l.path = k.path AND l.size = k.size AND l.mtime = k.mtime)
+SELECT file_id, variant, count(*) AS n FROM hashes WHERE file_id NOT IN (SELECT id FROM cur SEMI JOIN todo USING (path)) GROUP BY ALL""")
+def F4_without_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes that stay once changed files are hashed anew."""
+    f, h = table(spark, sf_dir, "files"), table(spark, sf_dir, "hashes")
+    changed = catalog.changed_ids(f, catalog.to_scan(_listing(spark, sf_dir), f, h))
+    return catalog.without_stale(h, changed).groupBy("file_id", "variant").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_CUR} SELECT id, path, status FROM cur WHERE status <> 'moved'")
+def F5_not_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current files that were not moved."""
+    return _files(spark, sf_dir).filter("status <> 'moved'").select("id", "path", "status")
+
+
+@query(f"WITH {_JOBS} SELECT id, state FROM jobs WHERE state = 'running' AND heartbeat_at > TIMESTAMP '{AS_OF}' - INTERVAL '2' HOUR")
+def F6_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running jobs with a sign of life in the last two hours."""
+    j = _jobs(spark, sf_dir).withColumn("stage", F.when(F.col("state") == "running", "scan")).withColumn("updated_at", F.col("heartbeat_at"))
+    return jobs.live(j, _as_of(), 7_200).select("id", "state")
+
+
+@query(f"WITH {_JOBS} SELECT id, command FROM jobs WHERE state = 'queued' AND (scheduled_at IS NULL OR scheduled_at <= TIMESTAMP '{AS_OF}')")
+def F7_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queued jobs whose time has come."""
+    return jobs.due(_jobs(spark, sf_dir), _as_of()).select("id", "command")
+
+
+@query(f"WITH {_GRP} SELECT id FROM grp WHERE run_id = (SELECT max(run_id) FROM grp) AND confirmed")
+def F8_selected_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confirmed groups of the last run: what a manual move works on."""
+    return move.selected_groups(_groups(spark, sf_dir), manual=True).select("id")
+
+
+@query("SELECT doc_id, substr(text, 1, 500) AS message FROM documents")
+def F9_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages cut to 500 characters."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 500).alias("message"))
+
+
+# ---- joins -----------------------------------------------------------------------------------------------------------
+
+_WORDS = """('0x' || substr(hex({x}), 1, 16))::UHUGEINT::UBIGINT AS w1,
+  (CASE WHEN octet_length({x}) > 8 THEN '0x' || substr(hex({x}), 17, 16) ELSE '0' END)::UHUGEINT::UBIGINT AS w2, octet_length({x}) AS n"""
+_LINKS = """h AS (SELECT DISTINCT file_id, phash FROM hashes WHERE phash IS NOT NULL AND file_id IS NOT NULL{where}),
+w AS (SELECT min(file_id) AS f, substr(lower(hex(phash)), 1, 4) AS b, {words} FROM h GROUP BY phash),
+e AS (SELECT m.f AS x, h.file_id AS y, 0 AS d FROM h JOIN (SELECT phash, min(file_id) AS f FROM h GROUP BY phash) m USING (phash) WHERE h.file_id <> m.f
+  UNION ALL SELECT least(a.f, b.f), greatest(a.f, b.f), bit_count(xor(a.w1, b.w1)) + bit_count(xor(a.w2, b.w2)) FROM w a JOIN w b ON a.b = b.b AND a.n = b.n AND a.f < b.f
+    AND bit_count(xor(a.w1, b.w1)) + bit_count(xor(a.w2, b.w2)) <= 4),
+links AS (SELECT x AS file_a, y AS file_b, min(d)::INT AS distance FROM e GROUP BY ALL)"""
+
+
+@query(f"WITH {_LINKS.format(where='', words=_WORDS.format(x='phash'))} SELECT * FROM links")
+def J1_bucket_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files linked by hashes at most 4 bits apart in one bucket; files that share a hash are linked to its first file."""
+    return bucket_links(table(spark, sf_dir, "hashes"), pairs=True)
+
+
+@query(f"WITH {_LINKS.format(where=' AND octet_length(phash) = 16', words=_WORDS.format(x='phash'))} SELECT * FROM links")
+def J2_wide_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for hashes of 16 bytes."""
+    return bucket_links(table(spark, sf_dir, "hashes").filter("length(phash) = 16"), pairs=True)
+
+
+@query(f"WITH {_CUR}, {_MEM} SELECT group_id, file_id, role, path, size FROM (SELECT DISTINCT group_id, file_id, role FROM mem) m JOIN cur ON cur.id = m.file_id")
+def J3_member_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members with their current files."""
+    m = _members(spark, sf_dir).select("group_id", "file_id", "role").distinct()
+    return m.join(_files(spark, sf_dir).select(F.col("id").alias("file_id"), "path", "size"), "file_id")
+
+
+@query(f"WITH {_GRP} SELECT run_id, count(*) AS n FROM group_members m JOIN grp ON grp.id = m.group_id WHERE moved_to IS NOT NULL GROUP BY run_id")
+def J4_moved_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moved members of every run."""
+    return reports.moved_by_run(_members(spark, sf_dir), _groups(spark, sf_dir))
+
+
+@query(f"""WITH {_CUR}, {_MEM} SELECT m.group_id, m.file_id, CASE WHEN m.moved_to IS NOT NULL THEN 'already' WHEN cur.status = 'ok' THEN 'present' ELSE 'missing' END AS place
+FROM (SELECT DISTINCT group_id, file_id, moved_to FROM mem) m JOIN cur ON cur.id = m.file_id""")
+def J6_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members that were moved, are there, or are missing; the listing is taken to hold the files that are ok."""
+    m = _members(spark, sf_dir).select("group_id", "file_id", "moved_to").distinct()
+    f = _files(spark, sf_dir).withColumn("path", F.col("id").cast("string"))  # unique, whatever the paths are
+    return move.classified(m, f, f.filter("status = 'ok'")).select("group_id", "file_id", F.col("where").alias("place"))
+
+
+@query("""WITH t AS (SELECT file_id, min(text) AS content FROM documents WHERE file_id IS NOT NULL AND text IS NOT NULL GROUP BY file_id),
+m AS (SELECT DISTINCT group_id, file_id FROM group_members), k AS (SELECT m.group_id, min(m.file_id) AS kept_id FROM m JOIN t USING (file_id) GROUP BY m.group_id)
+SELECT m.group_id, m.file_id, (sha256(a.content) = sha256(b.content))::INT AS exact FROM m JOIN k USING (group_id) LEFT JOIN t a ON a.file_id = m.file_id JOIN t b ON b.file_id = k.kept_id WHERE m.file_id <> kept_id""")
+def J7_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members whose content is that of their group's first file; a file's content is its document's text."""
+    t = table(spark, sf_dir, "documents").filter("file_id is not null and text is not null").groupBy("file_id").agg(F.min("text").alias("content"))
+    m = _members(spark, sf_dir).select("group_id", "file_id").distinct()
+    kept = m.join(t, "file_id").groupBy("group_id").agg(F.min("file_id").alias("file_id"))
+    return move.exact_copies(m, t, kept).withColumn("exact", F.col("exact").cast("int"))
+
+
+@query(f"""WITH {_CUR}, m AS (SELECT DISTINCT group_id, file_id FROM group_members)
+SELECT group_id, file_id, row_number() OVER (PARTITION BY group_id, regexp_extract(path, '[^/]*$') ORDER BY size DESC, encode(path), file_id) - 1 AS slot FROM m JOIN cur ON cur.id = m.file_id""")
+def J8_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turn of each member among those of its name in its group."""
+    m = _members(spark, sf_dir).select("group_id", "file_id").distinct()
+    return move.slots(m.join(_files(spark, sf_dir).select(F.col("id").alias("file_id"), "path", "size"), "file_id")).select("group_id", "file_id", F.col("slot").cast("bigint").alias("slot"))
+
+
+@query("SELECT group_id, file_id, role FROM group_members WHERE group_id NOT IN (SELECT id FROM groups WHERE run_id = 12)")
+def J12_run_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members that stay when run 12 is deleted."""
+    t = lambda n: table(spark, sf_dir, n)
+    return catalog.delete_run(12, t("analysis_runs"), t("groups"), t("group_members"))[2].select("group_id", "file_id", "role")
+
+
+@query(f"""WITH {_CUR} SELECT file_id, group_id, moved_to FROM (SELECT m.*, row_number() OVER (PARTITION BY m.file_id ORDER BY group_id, path, moved_to) AS k
+FROM group_members m JOIN cur ON cur.id = m.file_id WHERE moved_to IS NOT NULL) WHERE k = 1""")
+def J13_undo_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moved files to return, each once."""
+    return overrides.undo_plan(_members(spark, sf_dir), _files(spark, sf_dir)).select("file_id", "group_id", "moved_to")
+
+
+# ---- aggregates, graph -----------------------------------------------------------------------------------------------
+
+
+@query("SELECT count(DISTINCT file_id) AS n_files FROM hashes")
+def A1_hashed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that have hashes."""
+    return table(spark, sf_dir, "hashes").agg(F.count_distinct("file_id").alias("n_files"))
+
+
+@query("SELECT count(DISTINCT substr(lower(hex(phash)), 1, 4)) AS n_buckets FROM hashes")
+def A2_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of clean buckets."""
+    return table(spark, sf_dir, "hashes").filter("phash is not null").select(bucket(F.col("phash")).alias("b")).distinct().agg(F.count("*").alias("n_buckets"))
+
+
+@query(f"WITH {_JOBS} SELECT state, count(*) AS n FROM jobs GROUP BY state")
+def A3_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs by state."""
+    return jobs.snapshot_counts(_jobs(spark, sf_dir))
+
+
+@query(f"WITH {_GRP} SELECT run_id, count(*) AS groups, count(*) FILTER (confirmed) AS confirmed, coalesce(sum(member_count), 0)::BIGINT AS members FROM grp GROUP BY run_id")
+def A4_run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups, confirmed groups and members of every run."""
+    return reports.run_counts(_groups(spark, sf_dir))
+
+
+@query(f"""WITH {_CUR}, m AS (SELECT DISTINCT group_id, file_id FROM group_members)
+SELECT group_id AS component, count(*) AS member_count, sum(size)::BIGINT AS total_size FROM m JOIN cur ON cur.id = m.file_id GROUP BY group_id HAVING count(*) >= 2""")
+def A5_group_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members and bytes of groups with two files or more."""
+    m = _members(spark, sf_dir).select(F.col("group_id").alias("component"), F.col("file_id").alias("vertex")).distinct()
+    return graph.group_counters(m, _files(spark, sf_dir))
+
+
+_COMP = """s AS MATERIALIZED (SELECT file_a AS x, file_b AS y FROM links UNION SELECT file_b, file_a FROM links),
+r AS (SELECT x AS v, x AS c FROM s UNION SELECT s.y AS v, r.c FROM r JOIN s ON s.x = r.v), comp AS (SELECT v AS vertex, min(c) AS component FROM r GROUP BY v)"""
+_ALL_LINKS = _LINKS.format(where="", words=_WORDS.format(x="phash"))
+
+
+def _components(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    links = cut(bucket_links(table(spark, sf_dir, "hashes"), pairs=True))
+    return graph.components(links.select(F.col("file_a").alias("a"), F.col("file_b").alias("b"))), links
+
+
+@query(f"WITH RECURSIVE {_ALL_LINKS}, {_COMP} SELECT component, min(distance) AS min_distance FROM links JOIN comp ON vertex = file_a GROUP BY component")
+def A6_least_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least distance of any link of each component."""
+    return graph.least_distance(*_components(spark, sf_dir))
+
+
+@query(f"""WITH {_CUR}, {_GRP}, m AS (SELECT DISTINCT group_id, file_id FROM group_members)
+SELECT grp.id, count(*)::INT AS member_count, coalesce(sum(size), 0)::BIGINT AS total_size FROM grp JOIN m ON m.group_id = grp.id LEFT JOIN cur ON cur.id = m.file_id GROUP BY grp.id""")
+def A7_recounted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups with counters taken anew."""
+    return catalog.recount(_groups(spark, sf_dir), _members(spark, sf_dir), table(spark, sf_dir, "files")).select("id", "member_count", "total_size")
+
+
+@query("SELECT max(id) AS id FROM analysis_runs")
+def A8_last_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last run."""
+    return table(spark, sf_dir, "analysis_runs").agg(F.max("id").alias("id"))
+
+
+def _survivors(spark: SparkSession, sf_dir: str, keep_by: str) -> DataFrame:
+    f = _files(spark, sf_dir).select(F.col("id").alias("file_id"), "path", "size", F.nanvl("mtime", F.lit(None)).alias("mtime"), "width", "height")
+    m = _members(spark, sf_dir).select("group_id", "file_id").distinct().join(f, "file_id")
+    m = m.withColumn("capture_time", F.lit(None).cast("double")).withColumn("ctime", F.lit(None).cast("double"))
+    return graph.survivor(m, "group_id", keep_by).select("group_id", "file_id")
+
+
+_SURVIVOR = "WITH {cur}, m AS (SELECT DISTINCT group_id, file_id FROM group_members) SELECT group_id, file_id FROM (SELECT m.*, row_number() OVER (PARTITION BY group_id ORDER BY {key}, encode(path), file_id) AS k FROM m JOIN cur ON cur.id = m.file_id) WHERE k = 1"
+
+
+@query(_SURVIVOR.format(cur=_CUR, key="size DESC"))
+def A9_survivor_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Survivor of each group by size."""
+    return _survivors(spark, sf_dir, "size")
+
+
+@query(_SURVIVOR.format(cur=_CUR, key="coalesce(width, 0)::BIGINT * coalesce(height, 0) DESC, size DESC"))
+def A9_survivor_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Survivor of each group by pixels."""
+    return _survivors(spark, sf_dir, "pixels")
+
+
+_MARKS = r"""n AS (SELECT DISTINCT path, regexp_replace(regexp_extract(path, '[^/]*$'), '(.)\.[^.]*$', '\1') AS s, 0 AS p FROM files WHERE path IS NOT NULL
+  UNION ALL SELECT path, CASE
+    WHEN regexp_matches(s, '(?i)\s*\((?:copy|копия|another copy|new copy)(?:\s+\d+)?\)$') THEN regexp_replace(s, '(?i)\s*\((?:copy|копия|another copy|new copy)(?:\s+\d+)?\)$', '')
+    WHEN regexp_matches(s, '(?i)\s*[—–-]\s*копия(?:\s*\(\d+\))?$') THEN regexp_replace(s, '(?i)\s*[—–-]\s*копия(?:\s*\(\d+\))?$', '')
+    WHEN regexp_matches(s, '(?i)\s*-\s*copy(?:\s*\(\d+\))?$') THEN regexp_replace(s, '(?i)\s*-\s*copy(?:\s*\(\d+\))?$', '')
+    WHEN regexp_matches(s, '\s*\(\d{1,4}\)$') THEN regexp_replace(s, '\s*\(\d{1,4}\)$', '')
+    WHEN regexp_matches(s, '(?i)-edited$') THEN regexp_replace(s, '(?i)-edited$', '')
+    ELSE regexp_replace(s, '(?i)\s*\(edited\)$', '') END, p + 1 FROM n
+  WHERE p < 10 AND regexp_matches(s, '(?i)(\((copy|копия|another copy|new copy)(\s+\d+)?\)|[—–-]\s*копия(\s*\(\d+\))?|-\s*copy(\s*\(\d+\))?|\(\d{1,4}\)|-edited|\(edited\))$')),
+marks AS (SELECT path, max(p)::INT AS marks FROM n GROUP BY path)"""
+
+
+@query(f"""WITH RECURSIVE {_CUR}, {_MARKS}, m AS (SELECT DISTINCT group_id, file_id FROM group_members)
+SELECT group_id, file_id FROM (SELECT m.*, row_number() OVER (PARTITION BY group_id ORDER BY CASE WHEN mtime IS NULL OR isnan(mtime) THEN 0 ELSE mtime END, marks, encode(cur.path), file_id) AS k
+FROM m JOIN cur ON cur.id = m.file_id LEFT JOIN marks ON marks.path = cur.path) WHERE k = 1""")
+def A9_survivor_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Survivor of each group by capture time."""
+    return _survivors(spark, sf_dir, "capture")
+
+
+@query(f"""WITH {_CUR}, {_GRP}, l AS (SELECT max(run_id) AS run_id FROM grp)
+SELECT (SELECT count(*) FROM cur WHERE status <> 'moved') AS files, (SELECT count(*) FROM cur WHERE status = 'moved') AS moved_files, (SELECT count(*) FROM cur WHERE status = 'corrupt') AS corrupt,
+  l.run_id, (SELECT count(*) FROM grp WHERE grp.run_id = l.run_id) AS groups, (SELECT count(*) FROM grp WHERE grp.run_id = l.run_id AND confirmed) AS confirmed,
+  (SELECT coalesce(sum(member_count), 0)::BIGINT FROM grp WHERE grp.run_id = l.run_id) AS members,
+  (SELECT count(*) FROM group_members m JOIN grp ON grp.id = m.group_id WHERE grp.run_id = l.run_id AND moved_to IS NOT NULL) AS moved FROM l""")
+def A10_index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of the status report."""
+    return reports.index_counts(_files(spark, sf_dir), _groups(spark, sf_dir), _members(spark, sf_dir))
+
+
+@query("""WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE value IS NOT NULL),
+r AS (SELECT user_id, k, value AS a FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.k, r.a * 0.7::DOUBLE + o.value * 0.3::DOUBLE FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
+SELECT user_id, round(arg_max(a, k), 6) AS average FROM r GROUP BY user_id""")
+def A12_moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exponential average of the values of every user."""
+    return jobs.moving_average(table(spark, sf_dir, "events"), "user_id", "event_id", "value").select("user_id", F.round("average", 6).alias("average"))
+
+
+@query("""SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS mean_last,
+max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS max_last FROM events""")
+def A13_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean of the last 10 and maximum of the last 30 values."""
+    return jobs.rolling(table(spark, sf_dir, "events"), "user_id", "event_id", "value").withColumn("mean_last", F.round("mean_last", 6))
+
+
+@query(f"WITH RECURSIVE {_ALL_LINKS}, {_COMP} SELECT vertex, component FROM comp")
+def G1_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the links by hashes."""
+    return _components(spark, sf_dir)[0]
+
+
+_ANALYZED = f"""WITH RECURSIVE {_CUR}, {_ALL_LINKS}, {_COMP}, ok AS (SELECT * FROM cur WHERE status = 'ok'),
+g AS (SELECT component, count(*) AS member_count, sum(size)::BIGINT AS total_size FROM comp JOIN ok ON ok.id = vertex GROUP BY component HAVING count(*) >= 2),
+d AS (SELECT component, min(distance) AS min_distance FROM links JOIN comp ON vertex = file_a GROUP BY component),
+k AS (SELECT component, id, path, row_number() OVER (PARTITION BY component ORDER BY size DESC, encode(path), id) AS r FROM comp JOIN ok ON ok.id = vertex),
+ranked AS (SELECT row_number() OVER (ORDER BY total_size DESC, component) AS group_id, g.*, min_distance FROM g JOIN d USING (component))"""
+
+
+@query(f"{_ANALYZED} SELECT group_id, component, member_count, total_size, min_distance, k.id AS kept_id, k.path AS kept_path FROM ranked JOIN k USING (component) WHERE k.r = 1")
+def G2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of an analysis, numbered by size, with their provisional survivors."""
+    links = cut(bucket_links(table(spark, sf_dir, "hashes"), pairs=True))
+    return graph.analyze(table(spark, sf_dir, "hashes"), _files(spark, sf_dir), links)[0]
+
+
+@query(f"{_ANALYZED} SELECT group_id, k.id AS file_id, CASE WHEN k.r = 1 THEN 'kept' ELSE 'dup' END AS role FROM ranked JOIN k USING (component)")
+def G2_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of the groups of an analysis with their roles."""
+    links = cut(bucket_links(table(spark, sf_dir, "hashes"), pairs=True))
+    return graph.analyze(table(spark, sf_dir, "hashes"), _files(spark, sf_dir), links)[1]
+
+
+# ---- order, sets -----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_GRP} SELECT id, total_size, row_number() OVER (ORDER BY total_size DESC, id) AS position FROM grp ORDER BY total_size DESC, id LIMIT 20 OFFSET 20")
+def O3_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of groups."""
+    return reports.page(_groups(spark, sf_dir), 20, 20).select("id", "total_size", "position")
+
+
+@query(f"""WITH {_CUR}, {_GRP}, p AS (SELECT id FROM grp ORDER BY total_size DESC, id LIMIT 20), m AS (SELECT DISTINCT group_id, file_id, role FROM group_members WHERE group_id IN (SELECT id FROM p))
+SELECT group_id, file_id, role, row_number() OVER (PARTITION BY group_id ORDER BY (role = 'kept') DESC, size DESC, encode(path), file_id) AS position FROM m JOIN cur ON cur.id = m.file_id""")
+def O4_page_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of the first page of groups, in order."""
+    shown = reports.page(_groups(spark, sf_dir), 20)
+    return reports.page_members(shown, _members(spark, sf_dir), _files(spark, sf_dir)).select("group_id", "file_id", "role", "position")
+
+
+@query("SELECT event_id, event_type, row_number() OVER (ORDER BY event_id DESC) AS position FROM events ORDER BY event_id DESC LIMIT 200")
+def O5_journal_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 200 events."""
+    return reports.tail(table(spark, sf_dir, "events"), 200, "event_id").select("event_id", "event_type", "position")
+
+
+@query(f"WITH {_JOBS} SELECT id, command FROM jobs WHERE state = 'queued' AND (scheduled_at IS NULL OR scheduled_at <= TIMESTAMP '{AS_OF}') ORDER BY id LIMIT 1")
+def O6_next_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The due job that comes next."""
+    return jobs.next_job(_jobs(spark, sf_dir), _as_of()).select("id", "command")
+
+
+@query(f"WITH {_JOBS} SELECT id, state FROM jobs WHERE state IN ('queued', 'running') OR id IN (SELECT id FROM jobs WHERE state NOT IN ('queued', 'running') ORDER BY id DESC LIMIT 200)")
+def O7_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs after keeping the last 200 ended ones."""
+    return jobs.prune(_jobs(spark, sf_dir)).select("id", "state")
+
+
+@query("SELECT file_id, max(group_id) AS group_id FROM group_members GROUP BY file_id")
+def O8_newest_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest group of every file."""
+    return overrides.newest_group(_members(spark, sf_dir))
+
+
+@query("SELECT DISTINCT file_id FROM hashes WHERE file_id IS NOT NULL")
+def T1_hashed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that have hashes."""
+    return catalog.hashed_ids(table(spark, sf_dir, "hashes"))
+
+
+@query("SELECT DISTINCT id FROM (SELECT file_id AS id FROM group_members WHERE moved_to IS NOT NULL UNION SELECT id FROM files WHERE status = 'moved')")
+def T2_gone_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that were moved, by membership or status."""
+    a = _members(spark, sf_dir).filter("moved_to is not null").select(F.col("file_id").alias("id"))
+    return a.union(table(spark, sf_dir, "files").filter("status = 'moved'").select("id")).distinct()
+
+
+@query("SELECT DISTINCT file_id AS id FROM group_members EXCEPT SELECT id FROM files")
+def T4_members_without_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members whose file the catalog no longer has."""
+    ids = _members(spark, sf_dir).select(F.col("file_id").alias("id")).distinct()
+    return ids.join(table(spark, sf_dir, "files").select("id"), "id", "left_anti")
