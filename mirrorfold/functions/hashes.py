@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def word(phash: Column, start: int = 1) -> Column:
     """Eight bytes of a binary, from byte ``start`` (1-based), big-endian, as a signed LONG; null if there are fewer."""
     h = F.hex(F.substring(phash, start, 8))
@@ -42,11 +49,16 @@ def word_hex(w: Column) -> Column:
 
 def median_bits(values: Column) -> Column:
     """ARRAY<DOUBLE> -> ARRAY<BOOLEAN>: value above the median (mean of the middle two for even counts)."""
-    s = F.array_sort(values)
-    n = F.size(values)
-    at = lambda i: F.element_at(s, i.cast("int"))
-    mid = (at(F.floor((n + 1) / 2)) + at(F.floor((n + 2) / 2))) / 2
-    return F.transform(values, lambda x: x > mid)
+
+    def bits(v: Column) -> Column:
+        def middle(s: Column) -> Column:
+            n = F.size(s)
+            at = lambda i: F.element_at(s, i.cast("int"))
+            return (at(F.floor((n + 1) / 2)) + at(F.floor((n + 2) / 2))) / 2
+
+        return let(let(F.array_sort(v), middle), lambda mid: F.transform(v, lambda x: x > mid))
+
+    return let(values, bits)
 
 
 #: Variant -> (transposed, parity of the sign): sign is (-1)^u, (-1)^v, (-1)^(u+v) or none. Order: identity,

@@ -60,10 +60,10 @@ def properties(kind: Column, width: Column, height: Column, created: Column, opt
 
 
 def human_size(n: Column) -> Column:
-    """Size in steps of 1024: whole bytes, one decimal above; a dash for null."""
-    out = F.format_string("%.1f TB", n / 1024.0**4)
+    """Size in steps of 1024: whole bytes, one decimal (half to even) above; a dash for null."""
+    out = F.format_string("%.1f TB", F.bround(n / 1024.0**4, 1))
     for k in (3, 2, 1):
-        out = F.when(F.abs(n) < 1024 ** (k + 1), F.format_string(f"%.1f {SIZE_UNITS[k]}", n / 1024.0**k)).otherwise(out)
+        out = F.when(F.abs(n) < 1024 ** (k + 1), F.format_string(f"%.1f {SIZE_UNITS[k]}", F.bround(n / 1024.0**k, 1))).otherwise(out)
     out = F.when(F.abs(n) < 1024, F.format_string("%d B", n.cast("bigint"))).otherwise(out)
     return F.coalesce(F.when(n.isNull(), "—"), out)
 

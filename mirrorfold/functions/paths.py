@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def uniform_path(p: str | None) -> str | None:
@@ -24,18 +25,18 @@ def uniform_path(p: str | None) -> str | None:
     return p
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def uniform_path_udf(p: pd.Series) -> pd.Series:
     return p.map(uniform_path, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def name_key_udf(p: pd.Series) -> pd.Series:
     """NFC and case-folded name: names with equal keys clash on common file systems."""
     return p.map(lambda s: unicodedata.normalize("NFC", s).casefold(), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc_udf(p: pd.Series) -> pd.Series:
     return p.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .hashes import let
+
 #: Seconds a capture time may lie in the future.
 FUTURE = 86_400
 MILLIS = 1e12
@@ -27,33 +29,39 @@ UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86_400, "": 60}
 def sidecar_time(raw: Column, as_of: Column) -> Column:
     """Unix seconds of a JSON value: an object with ``timestamp``, a number, a string of digits or an ISO moment (naive =
     UTC). Milliseconds are scaled; booleans, garbage, times not positive or more than a day after ``as_of`` are null."""
+
+    def read(inner: Column) -> Column:
+        text = inner.startswith('"')
+        return let(F.trim(F.when(text, F.regexp_replace(inner, r'^"|"$', "")).otherwise(inner)), lambda s: value(s, text))
+
+    def value(s: Column, text: Column) -> Column:
+        whole = s.rlike(r"^-?\d+$")
+        number = F.when(whole | (~text & s.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$")), s.try_cast("double"))
+        iso = F.when(text & ~whole & s.rlike(r"^\d{4}-\d{2}-\d{2}"), F.unix_micros(F.try_to_timestamp(s)) / 1e6)
+        return let(let(F.coalesce(number, iso), lambda t: F.when(t > MILLIS, t / 1000).otherwise(t)), lambda t: F.when((t > 0) & (t <= as_of + FUTURE), t))
+
     t = F.trim(raw)
-    inner = F.when(t.startswith("{"), F.regexp_extract(t, r'"timestamp"\s*:\s*("[^"]*"|[^,}\s]+)', 1)).otherwise(t)
-    text = inner.startswith('"')
-    s = F.trim(F.when(text, F.regexp_replace(inner, r'^"|"$', "")).otherwise(inner))
-    whole = s.rlike(r"^-?\d+$")
-    number = F.when(whole | (~text & s.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$")), s.try_cast("double"))
-    iso = F.when(text & ~whole & s.rlike(r"^\d{4}-\d{2}-\d{2}"), F.unix_micros(F.try_to_timestamp(s)) / 1e6)
-    ts = F.coalesce(number, iso)
-    ts = F.when(ts > MILLIS, ts / 1000).otherwise(ts)
-    return F.when((ts > 0) & (ts <= as_of + FUTURE), ts)
+    return let(F.when(t.startswith("{"), F.regexp_extract(t, r'"timestamp"\s*:\s*("[^"]*"|[^,}\s]+)', 1)).otherwise(t), read)
 
 
 def capture_time(sidecar: Column, birthtime: Column, mtime: Column, mtime_db: Column, as_of: Column) -> Column:
     """STRUCT<time DOUBLE, source STRING>: sidecar's photoTakenTime, then creationTime, then the file system's earlier of
     birth and modification time, then the catalog's modification time, then 0."""
-    picked = lambda k: sidecar_time(F.get_json_object(sidecar, f"$.{k}").cast("string"), as_of)
-    quoted = lambda k: sidecar_time(F.concat(F.lit('"'), F.get_json_object(sidecar, f"$.{k}"), F.lit('"')), as_of)
-    json = lambda k: F.coalesce(picked(k), quoted(k))
-    both = lambda t, s: F.struct(t.cast("double").alias("time"), F.lit(s).alias("source"))
-    born = F.when((birthtime > 0) & (birthtime <= mtime), birthtime)
-    return (
-        F.when(json("photoTakenTime").isNotNull(), both(json("photoTakenTime"), "json photoTakenTime"))
-        .when(json("creationTime").isNotNull(), both(json("creationTime"), "json creationTime"))
-        .when(born.isNotNull(), both(born, "fs birthtime"))
-        .when(mtime.isNotNull(), both(mtime, "fs mtime"))
-        .otherwise(both(F.coalesce(mtime_db, F.lit(0.0)), "db mtime"))
-    )
+
+    def json(key: str) -> Column:
+        got = F.get_json_object(sidecar, f"$.{key}")
+        # a text has lost its quotes here; a bare word with them is no number and no boolean either
+        return F.coalesce(sidecar_time(got, as_of), sidecar_time(F.concat(F.lit('"'), got, F.lit('"')), as_of))
+
+    both = lambda s: lambda t: F.when(t.isNotNull(), F.struct(t.alias("time"), F.lit(s).alias("source")))
+    steps = [
+        (json("photoTakenTime"), "json photoTakenTime"),
+        (json("creationTime"), "json creationTime"),
+        (F.when((birthtime > 0) & (birthtime <= mtime), birthtime), "fs birthtime"),
+        (mtime, "fs mtime"),
+        (F.coalesce(mtime_db, F.lit(0.0)), "db mtime"),
+    ]
+    return F.coalesce(*[let(t.cast("double"), both(s)) for t, s in steps])
 
 
 def show_capture(t: Column) -> Column:

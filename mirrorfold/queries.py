@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import hashes, media, names, paths, times
 from .functions.hashes import bucket
 from .operators import graph, skew
 from .operators.hamming import bucket_links
 from .plans import catalog, jobs, move, overrides, reports
 from .shared import cut, table
+from .sources import schemas
 from .sources.listing import wanted
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -463,3 +465,403 @@ def T4_members_without_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members whose file the catalog no longer has."""
     ids = _members(spark, sf_dir).select(F.col("file_id").alias("id")).distinct()
     return ids.join(table(spark, sf_dir, "files").select("id"), "id", "left_anti")
+
+
+# ---- hashes ----------------------------------------------------------------------------------------------------------
+
+
+def _variant_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("c"))
+    each = F.array(*[F.struct(F.lit(k).cast("smallint").alias("variant"), hashes.variant_coefficients(F.col("c"), k).alias("x")) for k in range(8)])
+    return v.select("vec_id", F.explode(each).alias("e")).select("vec_id", "e.variant", hashes.pack_bits(hashes.median_bits(F.col("e.x"))).alias("w"))
+
+
+def _variant_sql() -> str:
+    cases = []
+    for turned, odd in hashes.VARIANTS:
+        at = "(i % 8) * 8 + i // 8" if turned else "i"
+        sign = " + ".join([x for x, k in (("i // 8", "u"), ("i % 8", "v")) if k in odd] or ["0"])
+        cases.append(f"list_transform(range(64), lambda i: c[{at} + 1] * (1 - 2 * (({sign}) % 2)))")
+    return f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS c FROM embeddings),
+s AS (SELECT vec_id, unnest(range(8)) AS variant, unnest([{", ".join(cases)}]) AS x FROM v),
+m AS (SELECT *, list_median(x) AS med FROM s)
+SELECT vec_id, variant::SMALLINT AS variant, lower(array_to_string(list_transform(range(16), lambda k: printf('%x', (x[4*k+1] > med)::INT * 8 + (x[4*k+2] > med)::INT * 4 + (x[4*k+3] > med)::INT * 2 + (x[4*k+4] > med)::INT)), '')) AS hex FROM m"""
+
+
+@query(_variant_sql())
+def H1_variant_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median hashes of the eight symmetries of every vector, read as a block of 8 x 8 coefficients (H1, H2, H3)."""
+    return _variant_words(spark, sf_dir).select("vec_id", "variant", hashes.word_hex(F.col("w")).alias("hex"))
+
+
+@query("SELECT file_id, variant, substr(lower(hex(phash)), 1, 4) AS part, substr(lower(hex(phash)), 1, 3) AS shorter FROM hashes")
+def H4_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean buckets of all hashes, of four and of three digits."""
+    return table(spark, sf_dir, "hashes").select("file_id", "variant", bucket(F.col("phash")).alias("part"), bucket(F.col("phash"), 3).alias("shorter"))
+
+
+@query("""WITH h AS (SELECT DISTINCT file_id, variant, ('0x' || hex(phash))::UHUGEINT::UBIGINT AS w FROM hashes WHERE octet_length(phash) = 8)
+SELECT a.file_id, b.variant, bit_count(xor(a.w, b.w))::INT AS distance FROM h a JOIN h b ON a.file_id = b.file_id AND a.variant = 0""")
+def H5_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of each variant of a file from its first."""
+    h = table(spark, sf_dir, "hashes").filter("length(phash) = 8").select("file_id", "variant", hashes.word(F.col("phash")).alias("w")).distinct()
+    first = h.filter("variant = 0").select("file_id", F.col("w").alias("w0"))
+    return h.join(first, "file_id").select("file_id", "variant", hashes.hamming(F.col("w"), F.col("w0")).alias("distance"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha FROM documents")
+def H6_content_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash of every text."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+
+
+@query("SELECT DISTINCT lower(hex(phash)) AS hex FROM hashes WHERE octet_length(phash) = 8")
+def H7_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct hashes of eight bytes, through numbers and back."""
+    return table(spark, sf_dir, "hashes").filter("length(phash) = 8").select(hashes.word_hex(hashes.word(F.col("phash"))).alias("hex")).distinct()
+
+
+# ---- names -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH RECURSIVE {_MARKS} SELECT path, marks FROM marks")
+def N1_copy_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copy marks at the end of every file name."""
+    return table(spark, sf_dir, "files").filter("path is not null").select("path").distinct().withColumn("marks", names.copy_marks(F.col("path")))
+
+
+_SAFE = r"""p AS (SELECT DISTINCT path FROM files WHERE path IS NOT NULL), b AS (SELECT path, regexp_replace(nfc_normalize({name}), '[<>:"/\\|?*\x00-\x1f\x7f]', '_', 'g') AS n FROM p),
+e AS (SELECT path, n, regexp_extract(n, '^\.*[^.].*?(\.[^.]*)$', 1) AS ext FROM b), t AS (SELECT path, ext, regexp_replace(substr(regexp_replace(substr(n, 1, length(n) - length(ext)), '[. ]+$', ''), 1, 100), '[. ]+$', '') AS s FROM e),
+safe AS (SELECT path, (CASE WHEN regexp_matches(upper(s), '^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$') THEN '_' || s WHEN s = '' THEN 'group' ELSE s END) || regexp_replace(ext, '[. ]+$', '') AS name FROM t)"""
+
+
+@query(f"WITH {_SAFE.format(name='path')} SELECT path, name FROM safe")
+def N2_safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every path as one safe name."""
+    return table(spark, sf_dir, "files").filter("path is not null").select("path").distinct().withColumn("name", names.safe_name(F.col("path")))
+
+
+@query("WITH " + _SAFE.format(name="'_' || regexp_extract(path, '[^/]*$')") + " SELECT path, name FROM safe")
+def N3_group_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folder of a group kept by each file."""
+    return table(spark, sf_dir, "files").filter("path is not null").select("path").distinct().withColumn("name", names.group_folder(F.col("path"), "_", F.lit("0")))
+
+
+@query()
+def N4_unique_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unique folder of every group (the repair rounds have no plain SQL; a fixture is tested against brute force)."""
+    g = _groups(spark, sf_dir).select("id", names.group_folder(F.col("kept_path"), "_", F.col("id").cast("string")).alias("name"))
+    return move.unique_names(g, "id", "name")
+
+
+@query(r"""WITH n AS (SELECT DISTINCT path, regexp_extract(path, '[^/]*$') AS name, row_number() OVER (PARTITION BY path ORDER BY id) - 1 AS k FROM (SELECT DISTINCT id, path FROM files) WHERE path IS NOT NULL),
+e AS (SELECT path, name, k, regexp_extract(name, '^\.*[^.].*?(\.[^.]*)$', 1) AS ext FROM n)
+SELECT path, k, CASE WHEN k = 0 THEN path ELSE substr(path, 1, length(path) - length(ext)) || CASE WHEN k = 1 THEN '_restored' ELSE '_restored_' || (k - 1) END || ext END AS target FROM e""")
+def N5_restored_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where files of one path would be returned to, one after the other."""
+    w = Window.partitionBy("path").orderBy("id")
+    f = table(spark, sf_dir, "files").filter("path is not null").select("id", "path").distinct().withColumn("k", (F.row_number().over(w) - 1).cast("bigint"))
+    return f.select("path", "k", overrides.restored_name(F.col("path"), F.col("k")).alias("target"))
+
+
+@query("SELECT id, CASE WHEN path = '/photos' OR starts_with(path, '/photos/') THEN '/mnt/archive' || substr(path, 8) ELSE path END AS host FROM files")
+def N6_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths as the host sees them."""
+    return table(spark, sf_dir, "files").select("id", media.host_path(F.col("path"), "/photos", "/mnt/archive/").alias("host"))
+
+
+@query(r"""WITH n AS (SELECT id, regexp_extract(path, '[^/]*$') AS name FROM files), e AS (SELECT id, name, regexp_extract(name, '^\.*[^.].*?(\.[^.]*)$', 1) AS ext FROM n)
+SELECT id, name, substr(name, 1, length(name) - length(ext)) AS stem, ext FROM e""")
+def N7_name_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name, stem and extension of every path."""
+    f = table(spark, sf_dir, "files").select("id", paths.basename(F.col("path")).alias("name"))
+    return f.select("id", "name", paths.stem(F.col("name")).alias("stem"), paths.extension(F.col("name")).alias("ext"))
+
+
+@query("""SELECT id, CASE WHEN size IS NULL THEN '—' WHEN abs(size) < 1024 THEN printf('%d B', size) WHEN abs(size) < 1048576 THEN printf('%.1f KB', size / 1024.0::DOUBLE)
+WHEN abs(size) < 1073741824 THEN printf('%.1f MB', size / 1048576.0::DOUBLE) WHEN abs(size) < 1099511627776 THEN printf('%.1f GB', size / 1073741824.0::DOUBLE) ELSE printf('%.1f TB', size / 1099511627776.0::DOUBLE) END AS shown FROM files""")
+def N8_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readable sizes."""
+    return table(spark, sf_dir, "files").select("id", media.human_size(F.col("size")).alias("shown"))
+
+
+# ---- times -----------------------------------------------------------------------------------------------------------
+
+_NOW = 1_767_225_600
+
+
+@query(f"""WITH v AS (SELECT id, mtime AS t FROM files WHERE mtime IS NOT NULL AND NOT isnan(mtime)), s AS (SELECT id, CASE WHEN t > 1e12 THEN floor(t) / 1000 ELSE floor(t) END AS t FROM v)
+SELECT id, CASE WHEN t > 0 AND t <= {_NOW} + 86400 THEN t END AS taken FROM s""")
+def D1f_sidecar_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times read from JSON, with every file's modification time written as a sidecar's object, number or text."""
+    f = table(spark, sf_dir, "files").filter("mtime is not null and not isnan(mtime)").withColumn("n", F.floor("mtime").cast("string"))
+    forms = F.when(F.col("size") % 3 == 0, F.concat(F.lit('{"timestamp": "'), "n", F.lit('"}'))).when(F.col("size") % 3 == 1, F.col("n")).otherwise(F.concat(F.lit('"'), "n", F.lit('"')))
+    return f.select("id", times.sidecar_time(F.coalesce(forms, F.col("n")), F.lit(float(_NOW))).alias("taken"))
+
+
+@query(f"""WITH f AS (SELECT id, CASE WHEN isnan(mtime) THEN NULL ELSE mtime END AS m, epoch(strptime(exif['createdOn'], '%Y-%m-%d %H:%M:%S')) AS c FROM files)
+SELECT id, CASE WHEN c > 0 AND c <= {_NOW} + 86400 THEN c ELSE coalesce(m, 0.0) END AS taken, CASE WHEN c > 0 AND c <= {_NOW} + 86400 THEN 'json photoTakenTime' WHEN m IS NOT NULL THEN 'fs mtime' ELSE 'db mtime' END AS source FROM f""")
+def D2f_capture_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capture time and its source, with the picture properties' creation as the sidecar."""
+    f = table(spark, sf_dir, "files")
+    sidecar = F.concat(F.lit('{"photoTakenTime": {"timestamp": "'), F.unix_timestamp(F.try_to_timestamp(F.try_element_at("exif", F.lit("createdOn")), F.lit("yyyy-MM-dd HH:mm:ss"))).cast("string"), F.lit('"}}'))
+    m = F.when(~F.isnan("mtime"), F.col("mtime"))
+    c = times.capture_time(sidecar, F.lit(None).cast("double"), m, F.lit(None).cast("double"), F.lit(float(_NOW)))
+    return f.select("id", c.alias("c")).select("id", F.col("c.time").alias("taken"), "c.source")
+
+
+@query("SELECT id, strftime(indexed_at, '%Y-%m-%d %H:%M:%S UTC') AS shown FROM files")
+def D3f_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times as the reports show them."""
+    return table(spark, sf_dir, "files").select("id", times.show_capture(F.unix_micros(F.col("indexed_at").cast("timestamp")) / 1e6).alias("shown"))
+
+
+@query("SELECT id, exif['createdOn'] AS created FROM files WHERE exif['createdOn'] IS NOT NULL")
+def D4f_exif_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Creation times with dashes, from their form with colons."""
+    f = table(spark, sf_dir, "files").withColumn("c", F.try_element_at("exif", F.lit("createdOn"))).filter("c is not null")
+    colons = F.concat(F.replace(F.substring("c", 1, 10), F.lit("-"), F.lit(":")), F.substring("c", 11, 100))
+    return f.select("id", times.exif_moment(colons).alias("created"))
+
+
+@query(f"""SELECT event_id, CASE WHEN user_id % 4 < 3 AND date_trunc('minute', ts) > TIMESTAMP '{AS_OF}' THEN date_trunc('minute', ts) WHEN user_id % 4 = 3 AND date_trunc('minute', ts)::TIME > TIME '00:00:00' THEN DATE '2024-01-16' + date_trunc('minute', ts)::TIME END AS starts FROM events""")
+def D5f_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schedule moments written in four ways; past ones are refused."""
+    fmt = {0: "yyyy-MM-dd HH:mm", 1: "dd.MM.yyyy HH:mm", 2: "yyyy-MM-dd'T'HH:mm", 3: "HH:mm"}
+    spec = F.lit(None).cast("string")
+    for k, f in fmt.items():
+        spec = F.when(F.col("user_id") % 4 == k, F.date_format("ts", f)).otherwise(spec)
+    return table(spark, sf_dir, "events").select("event_id", times.moment(spec, _as_of()).alias("starts"))
+
+
+@query("SELECT event_id, CASE user_id % 4 WHEN 0 THEN event_id * 60 WHEN 1 THEN event_id WHEN 2 THEN 86400 + event_id * 3600 ELSE NULL END AS seconds FROM events WHERE event_id > 0")
+def D6f_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delays in minutes, seconds, days and hours, and unreadable ones."""
+    n = F.col("event_id").cast("string")
+    spec = F.when(F.col("user_id") % 4 == 0, n).when(F.col("user_id") % 4 == 1, F.concat(n, F.lit("s"))).when(F.col("user_id") % 4 == 2, F.concat(F.lit("1d "), n, F.lit("H"))).otherwise(F.concat(n, F.lit("x")))
+    return table(spark, sf_dir, "events").filter("event_id > 0").select("event_id", times.delay_seconds(spec).alias("seconds"))
+
+
+@query("""SELECT id, CASE WHEN size // 3600000 > 0 THEN printf('%d:%02d:%02d', size // 3600000, size // 1000 % 3600 // 60, size // 1000 % 60) ELSE printf('%d:%02d', size // 60000, size // 1000 % 60) END AS shown FROM files WHERE size IS NOT NULL""")
+def D7f_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes in KB shown as durations in seconds."""
+    return table(spark, sf_dir, "files").filter("size is not null").select("id", times.duration(F.floor(F.col("size") / 1000)).alias("shown"))
+
+
+@query("""SELECT event_id, CASE user_id % 3 WHEN 0 THEN ts + INTERVAL '30' MINUTE WHEN 1 THEN CASE WHEN date_trunc('day', ts) + INTERVAL '3' HOUR > ts THEN date_trunc('day', ts) + INTERVAL '3' HOUR
+ELSE date_trunc('day', ts) + INTERVAL '27' HOUR END ELSE date_trunc('day', ts) + INTERVAL '27' HOUR END AS starts FROM events""")
+def D8f_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preset moments as seen at every event."""
+    name = F.when(F.col("user_id") % 3 == 0, "30 min").when(F.col("user_id") % 3 == 1, "today 03:00").otherwise("tomorrow 03:00")
+    return table(spark, sf_dir, "events").select("event_id", times.preset(name, F.col("ts")).alias("starts"))
+
+
+# ---- properties, JSON ------------------------------------------------------------------------------------------------
+
+
+@query("SELECT id, CASE WHEN height > 0 THEN width::DOUBLE / height END AS ratio FROM files")
+def M2_rationals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Width over height, null for a height of zero."""
+    return table(spark, sf_dir, "files").select("id", media.rational(F.col("width"), F.nullif(F.col("height"), F.lit(0))).alias("ratio"))
+
+
+@query("SELECT event_id, CASE WHEN value <= 0 THEN '—' WHEN value >= 1 THEN printf('%g s', value) ELSE '1/' || round_even(1 / value, 0)::BIGINT || ' s' END AS shown FROM events WHERE value IS NOT NULL")
+def M3_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values shown as exposure times."""
+    return table(spark, sf_dir, "events").filter("value is not null").select("event_id", media.exposure(F.col("value")).alias("shown"))
+
+
+@query("""SELECT event_id, (CASE WHEN user_id & 1 = 1 THEN 'Yes' ELSE 'No' END) || CASE WHEN user_id & 24 = 24 THEN ', auto' WHEN user_id & 24 = 8 AND user_id & 1 = 1 THEN ', on' WHEN user_id & 24 = 16 THEN ', off' ELSE '' END AS flash,
+coalesce(MAP {0: 'Auto', 1: 'Manual', 2: 'Auto', 3: 'Aperture-priority AE', 4: 'Shutter speed priority AE', 5: 'Creative (Slow speed)', 6: 'Action (High speed)', 7: 'Portrait', 8: 'Landscape'}[user_id::INT], user_id::VARCHAR) AS program FROM events""")
+def M4_flash_and_program(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flash bits and exposure programs (M4, M5)."""
+    return table(spark, sf_dir, "events").select("event_id", media.flash(F.col("user_id")).alias("flash"), media.label(F.col("user_id"), media.EXPOSURE_PROGRAMS).alias("program"))
+
+
+@query("SELECT id, CASE WHEN info.threshold IS NULL THEN run_id::INT ELSE info.threshold END AS threshold, info.min_distance AS min_distance, count(*) AS n FROM groups GROUP BY ALL")
+def M6_merged_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Information of a group, completed from its run (a later value wins over a missing one)."""
+    g = table(spark, sf_dir, "groups").withColumn("info", F.struct(F.coalesce("info.threshold", F.col("run_id").cast("int")).alias("threshold"), F.col("info.min_distance").alias("min_distance")))
+    return g.groupBy("id", "info.threshold", "info.min_distance").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, round(least(100.0::DOUBLE * user_id / nullif(value, 0), 100.0::DOUBLE), 1) AS percent FROM events WHERE value IS NOT NULL")
+def M7_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress of users over values, in percent."""
+    return table(spark, sf_dir, "events").filter("value is not null").select("event_id", media.percent(F.col("user_id"), F.col("value")).alias("percent"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def M8_json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field of the JSON properties."""
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query(f"""WITH {_CUR}, m AS (SELECT map_entries(exif) AS e, id FROM cur WHERE exif IS NOT NULL), k AS (SELECT id, unnest(e) AS x FROM m)
+SELECT x.key AS key, count(*) AS n, count(DISTINCT x.value) AS n_values FROM k GROUP BY ALL""")
+def M1_property_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each picture property occurs, and with how many values."""
+    return _files(spark, sf_dir).select(F.explode("exif")).groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_values"))
+
+
+# ---- state transitions -----------------------------------------------------------------------------------------------
+
+
+def _present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _files(spark, sf_dir).filter("status = 'ok'").select(F.col("id").alias("file_id"), "path", "size", "mtime", "width", "height")
+    m = _members(spark, sf_dir).select("group_id", "file_id").distinct().join(f, "file_id")
+    return m.withColumn("capture_time", F.lit(None).cast("double")).withColumn("ctime", F.lit(None).cast("double"))
+
+
+_PRESENT = f"""{_CUR}, pres AS (SELECT DISTINCT m.group_id, m.file_id, cur.path, cur.size FROM group_members m JOIN cur ON cur.id = m.file_id AND cur.status = 'ok'),
+kept AS (SELECT group_id, file_id AS kept_id, path AS kept_path FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY size DESC, encode(path), file_id) AS k FROM pres) WHERE k = 1)"""
+
+
+@query(r"WITH " + _PRESENT + r""", s AS (SELECT p.*, kept_id, row_number() OVER (PARTITION BY group_id, regexp_extract(path, '[^/]*$') ORDER BY size DESC, encode(path), file_id) - 1 AS slot FROM pres p JOIN kept USING (group_id) WHERE file_id <> kept_id),
+n AS (SELECT *, regexp_extract(path, '[^/]*$') AS name FROM s), x AS (SELECT *, regexp_extract(name, '^\.*[^.].*?(\.[^.]*)$', 1) AS ext FROM n)
+SELECT group_id, file_id, kept_id, CASE WHEN slot = 0 THEN name ELSE substr(name, 1, length(name) - length(ext)) || '_' || slot || ext END AS name FROM x""")
+def W9_move_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which files a move takes from which groups, and their names in the trash."""
+    p = move.move_plan(_present(spark, sf_dir), "/trash")
+    return p.select("group_id", "file_id", "kept_id", F.element_at(F.split("target", "/"), -1).alias("name"))
+
+
+@query(f"""WITH {_PRESENT} SELECT m.group_id, m.file_id, CASE WHEN m.file_id = kept_id THEN 'kept' WHEN moved_to IS NOT NULL OR (kept_id IS NOT NULL AND p.file_id IS NOT NULL) THEN 'dup' ELSE role END AS role, count(*) AS n
+FROM group_members m LEFT JOIN kept ON kept.group_id = m.group_id AND EXISTS (SELECT 1 FROM pres q WHERE q.group_id = m.group_id AND q.file_id <> kept_id) LEFT JOIN pres p ON p.group_id = m.group_id AND p.file_id = m.file_id GROUP BY ALL""")
+def W1_finalized_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles of members once a plan is carried out."""
+    p = cut(move.move_plan(_present(spark, sf_dir), "/trash"))
+    t = lambda n: table(spark, sf_dir, n)
+    none = p.select("file_id").limit(0)
+    m = move.finalized(t("group_members"), _groups(spark, sf_dir), _files(spark, sf_dir), t("hashes"), p, none, "size", _as_of())[0]
+    return m.groupBy("group_id", "file_id", "role").agg(F.count("*").alias("n"))
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> overrides.Catalog:
+    m = _members(spark, sf_dir).groupBy("group_id", "file_id").agg(F.min("role").alias("role"), F.min("moved_to").alias("moved_to"), F.min("moved_at").alias("moved_at"))
+    return overrides.Catalog(_files(spark, sf_dir), table(spark, sf_dir, "hashes"), _groups(spark, sf_dir), m)
+
+
+_ONE = "one AS (SELECT group_id, file_id, min(role) AS role, min(moved_to) AS moved_to FROM group_members GROUP BY ALL)"
+
+
+@query(f"WITH {_ONE}, t AS (SELECT min(file_id) AS f FROM one WHERE moved_to IS NOT NULL) SELECT group_id, file_id, role, CASE WHEN file_id <> f THEN moved_to END AS moved_to FROM one, t")
+def W2_returned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members after the first moved file was returned."""
+    c = _catalog(spark, sf_dir)
+    fid = c.members.filter("moved_to is not null").agg(F.min("file_id")).first()[0]
+    return overrides.return_file(c, fid).members.select("group_id", "file_id", "role", "moved_to")
+
+
+@query(f"""WITH {_ONE}, t AS (SELECT group_id AS g, file_id AS f FROM one WHERE role = 'dup' ORDER BY 1, 2 LIMIT 1), k AS (SELECT o.group_id, o.file_id FROM one o, t WHERE o.group_id = g AND o.role = 'kept' AND o.moved_to IS NULL AND o.file_id <> f ORDER BY 2 LIMIT 1)
+SELECT group_id, file_id, CASE WHEN group_id = g AND file_id = f THEN 'kept' WHEN (group_id, file_id) IN (SELECT (group_id, file_id) FROM k) THEN 'dup' ELSE role END AS role FROM one, t""")
+def W3_promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members after the first duplicate became its group's original."""
+    c = _catalog(spark, sf_dir)
+    r = c.members.filter("role = 'dup'").orderBy("group_id", "file_id").first()
+    return overrides.promote(c, r["file_id"], r["group_id"], "/trash/x", _as_of()).members.select("group_id", "file_id", "role")
+
+
+@query(f"""WITH {_CUR}, {_ONE}, t AS (SELECT group_id AS g, file_id AS f FROM one WHERE role = 'kept' AND moved_to IS NULL ORDER BY 1, 2 LIMIT 1),
+n AS (SELECT file_id FROM one JOIN cur ON cur.id = file_id, t WHERE group_id = g AND file_id <> f AND moved_to IS NULL ORDER BY size DESC, encode(path), file_id LIMIT 1)
+SELECT group_id, file_id, CASE WHEN group_id = g AND file_id = f THEN 'dup' WHEN group_id = g AND file_id IN (SELECT file_id FROM n) THEN 'kept' ELSE role END AS role FROM one, t""")
+def W4_demoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members after the first original became a duplicate and the rule picked another."""
+    c = _catalog(spark, sf_dir)
+    r = c.members.filter("role = 'kept' and moved_to is null").orderBy("group_id", "file_id").first()
+    return overrides.demote(c, r["file_id"], r["group_id"], "/trash/x", _as_of()).members.select("group_id", "file_id", "role")
+
+
+@query(f"""WITH {_CUR}, {_GRP}, t AS (SELECT min(file_id) AS f FROM group_members), m AS (SELECT DISTINCT group_id, file_id FROM group_members, t WHERE file_id <> f)
+SELECT grp.id, count(*)::INT AS member_count, coalesce(sum(size) FILTER (cur.id <> f), 0)::BIGINT AS total_size FROM grp JOIN m ON m.group_id = grp.id LEFT JOIN cur ON cur.id = m.file_id, t GROUP BY grp.id""")
+def W5_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups after the first member's file was deleted."""
+    c = _catalog(spark, sf_dir)
+    return overrides.delete(c, c.members.agg(F.min("file_id")).first()[0]).groups.select("id", "member_count", "total_size")
+
+
+@query(f"""WITH {_CUR}, {_ONE}, p AS (SELECT * FROM (SELECT o.file_id, o.moved_to, size, row_number() OVER (PARTITION BY o.file_id ORDER BY group_id, o.moved_to) AS k FROM one o JOIN cur ON cur.id = o.file_id WHERE moved_to IS NOT NULL) WHERE k = 1),
+m AS (SELECT file_id FROM p WHERE moved_to IN (SELECT moved_to FROM p WHERE size % 2 = 0))
+SELECT status, count(*) AS n FROM (SELECT CASE WHEN m.file_id IS NOT NULL THEN 'ok' ELSE status END AS status FROM cur LEFT JOIN m ON m.file_id = cur.id) GROUP BY status""")
+def W6_undone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by status after an undo that found only the files of even size in the trash."""
+    c = _catalog(spark, sf_dir)
+    plan = overrides.undo_plan(c.members, c.files)
+    return overrides.undo(c, plan.filter("size % 2 = 0").select(F.col("moved_to").alias("path")))[0].files.groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'files' AS name, 0::BIGINT AS n UNION ALL SELECT 'hashes', 0")
+def W7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of tables after cleaning."""
+    rows = [catalog.empty(table(spark, sf_dir, n)).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n in ("files", "hashes")]
+    return rows[0].unionByName(rows[1])
+
+
+@query(f"WITH {_GRP} SELECT id, CASE WHEN run_id = 12 THEN true ELSE coalesce(confirmed, false) END::INT AS confirmed FROM grp")
+def W8_confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups after confirming all of run 12."""
+    g = overrides.confirm(_groups(spark, sf_dir), run_id=12)
+    return g.select("id", F.coalesce("confirmed", F.lit(False)).cast("int").alias("confirmed"))
+
+
+@query(f"WITH {_JOBS} SELECT id, state FROM jobs WHERE state IN ('queued', 'running')")
+def W10_history_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs after clearing the history."""
+    return jobs.delete_finished(_jobs(spark, sf_dir)).select("id", "state")
+
+
+@query(f"""WITH {_JOBS}, p AS (SELECT id FROM jobs WHERE state = 'queued' AND (scheduled_at IS NULL OR scheduled_at <= TIMESTAMP '{AS_OF}') ORDER BY id LIMIT 1)
+SELECT id, CASE WHEN id IN (SELECT id FROM p) THEN 'running' ELSE state END AS state FROM jobs""")
+def W11_claimed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs after a runner took the next one."""
+    j = _jobs(spark, sf_dir)
+    j = j.withColumn("taken_at", F.lit(None).cast("timestamp")).withColumn("runner_id", F.lit(None).cast("string"))
+    idle = spark.createDataFrame([], "stage STRING, updated_at TIMESTAMP, runner_paused BOOLEAN")
+    return jobs.claim(j, idle, "r1", _as_of()).select("id", "state")
+
+
+@query(f"WITH {_JOBS} SELECT id, CASE WHEN state = 'running' AND (heartbeat_at IS NULL OR heartbeat_at < TIMESTAMP '{AS_OF}' - INTERVAL '1' DAY) THEN 'stale' ELSE state END AS state FROM jobs")
+def W12_reaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs after those without a sign of life for a day were given up."""
+    j = _jobs(spark, sf_dir)
+    for c, kind in (("finished_at", "timestamp"), ("error", "string"), ("stop_reason", "string")):
+        j = j.withColumn(c, F.lit(None).cast(kind))
+    return jobs.reap(j, _as_of(), 86_400).select("id", "state")
+
+
+@query(f"""WITH {_CUR}, i AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY batch_no, arrived_at) AS r FROM incoming) WHERE r = 1)
+SELECT id, path, size FROM cur WHERE id NOT IN (SELECT file_id FROM i) UNION ALL SELECT file_id, path, size FROM i""")
+def SC9_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog with the incoming records."""
+    w = Window.partitionBy("file_id").orderBy("batch_no", "arrived_at")
+    i = table(spark, sf_dir, "incoming").withColumn("r", F.row_number().over(w)).filter("r = 1").select(F.col("file_id").alias("id"), "path", "size", "mtime", "width", "height")
+    return catalog.upsert(_files(spark, sf_dir), i, ["id"]).select("id", "path", "size")
+
+
+@query("SELECT event_id AS id FROM events ORDER BY event_id DESC LIMIT 1000")
+def SC10_journal_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal's last 1,000 events."""
+    return jobs.keep_last(table(spark, sf_dir, "events").select(F.col("event_id").alias("id")), 1_000)
+
+
+@query(f"""WITH {_PRESENT}, d AS (SELECT p.*, kept_path FROM pres p JOIN kept USING (group_id) WHERE file_id <> kept_id)
+SELECT group_id, 'group ' || group_id || chr(10) || 'kept: ' || min(kept_path) || chr(10) || string_agg('moved: ' || path || ' -> /trash', chr(10) ORDER BY size DESC, encode(path)) AS text FROM d GROUP BY group_id""")
+def SC12_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text per group: what is kept and what is moved."""
+    p = _present(spark, sf_dir)
+    k = graph.survivor(p, "group_id").select("group_id", F.col("file_id").alias("kept_id"), F.col("path").alias("kept_path"))
+    rows = p.join(k, "group_id").filter("file_id <> kept_id").withColumn("target", F.lit("/trash")).withColumn("folder", F.lit("x"))
+    return move.reports(rows).select("group_id", "text")
+
+
+@query("""SELECT 'unique file_id, variant' AS rule, count(*) AS n FROM (SELECT file_id, variant FROM hashes GROUP BY ALL HAVING count(*) > 1)
+UNION ALL SELECT 'domain variant', count(*) FILTER (variant NOT BETWEEN 0 AND 7) FROM hashes""")
+def SC15_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken constraints of the hashes."""
+    return schemas.check("hashes", table(spark, sf_dir, "hashes"))
+
+
+@query("SELECT id, substr(sha256(path), 1, 32) AS key FROM files")
+def SC18_thumbnail_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cache keys of the files."""
+    return table(spark, sf_dir, "files").select("id", media.thumbnail_key(F.col("path")).alias("key"))
