@@ -179,7 +179,7 @@ def bucket_links(hashes: DataFrame, radius: int = 4, hex_chars: int = 4, crowded
     nothing. Returns ``file_a < file_b`` and ``distance``. With ``pairs`` every linked pair of distinct hashes counts and
     the least distance per pair of files comes out; files that share a hash are linked through the hash's first file
     (distance 0). Without, only links that join parts not linked yet are returned from each run, enough for components
-    and never more than the hashes.
+    and fewer than the run's hashes.
 
     Buckets of more than ``crowded`` hashes (their number is bounded by 16 ** hex_chars, whatever the data) are split
     by the blocking scheme; the others are one run. The list of crowded buckets is broadcast to the tasks."""
