@@ -2,9 +2,11 @@
 
 Vectors are bit strings of several 64-bit words under the Hamming distance. Every vector is filed in several shards, and
 each shard holds a vantage-point tree over its vectors; a subtree is left out when the triangle inequality, with the
-search radius multiplied by ``factor``, rules it out. The same factor sets the shards: two vectors within
-factor * radius have some word with at most r = factor * radius / words differing bits, hence one of that word's r + 1
-strided blocks in common, and each (word, block value) is a shard. Factor 1 restores the exact search within the radius.
+search radius multiplied by ``factor``, rules it out. Shards are relaxed likewise by ``shard_factor``: two vectors within
+shard_factor * radius have some word with at most r = shard_factor * radius / words differing bits, hence one of that
+word's r + 1 strided blocks in common, and each (word, block value) is a shard. Factors of one restore the exact search
+within the radius. Large shards are dense clusters, often copies around one original, where distances to a vantage point
+tell all and a relaxed tree loses much: the trees' factor is one unless asked otherwise.
 Exact copies are one vector; their files come back at the end.
 """
 
@@ -23,8 +25,10 @@ from ..shared import cut, table
 
 #: Vectors of a tree's leaf, which are compared one by one.
 LEAF = 32
-#: Vectors of one tree at most; a larger shard has several trees, and each of its vectors asks all of them.
+#: Vectors of one tree at most, about; a larger shard is split into parts, and each pair of parts has a tree of its own.
 TREE = 20_000
+#: Vectors looked at to find shards that need splitting, about.
+SAMPLE = 100_000
 #: Copies of the lookup table of large classes, over which the files of one class spread.
 SALTS = 16
 
@@ -127,8 +131,7 @@ def shard_links(keys: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, radius
     for s, e in zip(start[~small], end[~small]):
         best = Best(e - s, k, radius)
         y = x[s:e]
-        for t in range(0, e - s, TREE):
-            search_tree(build_tree(y, np.arange(t, min(e - s, t + TREE)), rng), y, np.arange(e - s), best, factor)
+        search_tree(build_tree(y, np.arange(e - s), rng), y, np.arange(e - s), best, factor)
         q, c = np.nonzero(best.score < (radius + 1) << 32)
         v = best.score[q, c]
         got.append((ids[s + q], ids[s + (v & 0xFFFFFFFF)], (v >> 32).astype(np.int16)))
@@ -144,17 +147,31 @@ def shard_links(keys: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, radius
     return a, b, d
 
 
-def nearest_vectors(vectors: DataFrame, words: list[str], k: int = 3, radius: int = 40, factor: float = 0.5) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, words: list[str], k: int = 3, radius: int = 40, factor: float = 1.0, shard_factor: float = 0.5, tree: int = TREE) -> DataFrame:
     """For every vector its ``k`` nearest others at most ``radius`` bits away: ``id, near_id, distance``, nearest first
     by (distance, id).
 
     ``vectors``: id LONG, unique, and the LONG columns ``words``, no two rows with equal words; nulls are not allowed;
-    extra columns are ignored. ``factor`` 1 is exact; less loses some neighbours farther than factor * radius.
-    Shards are spread by their key over tasks of about equal size."""
+    extra columns are ignored. Both factors 1 are exact; a lower ``shard_factor`` may lose neighbours farther than that
+    share of the radius, a lower ``factor`` some of those in large shards.
+
+    Shards are spread by their key over tasks of about equal size. A crowded shard, as a sample of the vectors shows (at
+    most 256 per word and block, each of at least 1/256 of all vectors), is split into parts of tree / 2 vectors, and every
+    pair of parts becomes a shard, so that no pair of vectors is lost and no task holds a crowded one."""
     n = vectors.count()
-    masks = block_masks(int(factor * radius) // len(words) + 1)
-    key = [F.xxhash64(F.lit(i * 64 + j), F.col(w).bitwiseAND(F.lit(m))) for i, w in enumerate(words) for j, m in enumerate(masks)]
-    filed = vectors.select("id", *words, F.explode(F.array(*key)).alias("key"))
+    masks = block_masks(int(shard_factor * radius) // len(words) + 1)
+    key = F.explode(F.array(*[F.xxhash64(F.lit(i * 64 + j), F.col(w).bitwiseAND(F.lit(m))) for i, w in enumerate(words) for j, m in enumerate(masks)])).alias("key")
+    per = len(words) * len(masks)
+    filed = vectors.select("id", *words, key).select("key", "id", *words)
+    every = max(1, n // SAMPLE)
+    seen = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select(key).groupBy("key").agg((F.count("*") * every).alias("n"))
+    crowded = seen.filter(F.col("n") > max(tree, n // 256)).select("key", F.ceil(F.col("n") / (tree / 2)).cast("int").alias("parts")).collect()
+    if crowded:
+        top = F.broadcast(vectors.sparkSession.createDataFrame(crowded, "key BIGINT, parts INT"))
+        hot = filed.join(top, "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        cell = F.xxhash64("key", F.least("own", F.col("other").cast("bigint")), F.greatest("own", F.col("other").cast("bigint")))
+        filed = filed.join(top, "key", "left_anti").unionByName(hot.withColumn("key", cell).select("key", "id", *words))
+        per += sum(r["parts"] for r in crowded)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = gather(batches, ["key", "id", *words])
@@ -162,12 +179,12 @@ def nearest_vectors(vectors: DataFrame, words: list[str], k: int = 3, radius: in
         a, b, d = shard_links(c["key"], c["id"], x, k, radius, factor)
         yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(d.astype(np.int32))], ["id", "near_id", "distance"])
 
-    found = filed.select("key", "id", *words).repartition(spread(n * len(key)), "key").mapInArrow(search, "id long, near_id long, distance int").distinct()
+    found = filed.repartition(spread(n * per), "key").mapInArrow(search, "id long, near_id long, distance int").distinct()
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "near_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "near_id", "distance")
 
 
-def nearest_files(hashes: DataFrame, k: int = 3, radius: int = 40, factor: float = 0.5, variants: int = 8) -> DataFrame:
+def nearest_files(hashes: DataFrame, k: int = 3, radius: int = 40, factor: float = 1.0, shard_factor: float = 0.5, variants: int = 8) -> DataFrame:
     """Pairs ``file_a < file_b`` of which one is among the ``k`` nearest files of the other, at most ``radius`` bits away.
 
     ``hashes``: file_id LONG, variant, phash BINARY. Only files with all ``variants`` variants of 8 bytes count; rows
@@ -181,7 +198,7 @@ def nearest_files(hashes: DataFrame, k: int = 3, radius: int = 40, factor: float
     # The rank limit is applied before the shuffle too, so a class of any size adds k + 1 rows a task.
     first = files.withColumn("r", F.row_number().over(Window.partitionBy(*names).orderBy("file_id"))).filter(F.col("r") <= k + 1)
     classes = cut(first.groupBy(*names).agg(F.array_sort(F.collect_list("file_id")).alias("tops")).select(F.col("tops")[0].alias("id"), "tops", *names))
-    near = nearest_vectors(classes, names, k, radius, factor)
+    near = nearest_vectors(classes, names, k, radius, factor, shard_factor)
     tops = classes.select(F.col("id").alias("near_id"), F.col("tops").alias("near_tops"))
     own = classes.select("id", F.lit(0).alias("distance"), F.explode("tops").alias("f"))
     beside = near.join(tops, "near_id").select("id", "distance", F.explode("near_tops").alias("f"))
