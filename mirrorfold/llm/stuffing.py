@@ -88,7 +88,8 @@ def recurrence(words: list[str]) -> tuple[float, float]:
         if len(w) < 8:
             continue
         ids = np.unique(np.array(w), return_inverse=True)[1]
-        best = max(float((ids[:-lag] == ids[lag:]).mean()) for lag in range(1, min(LAGS, len(w) // 2) + 1))
+        n = len(w)
+        best = max(np.count_nonzero(ids[:-lag] == ids[lag:]) / (n - lag) for lag in range(1, min(LAGS, n // 2) + 1))
         order = np.argsort(ids, kind="stable")
         gap, same = np.diff(order), np.diff(ids[order]) == 0
         n = np.bincount(ids[order][1:][same], minlength=ids.max() + 1)
@@ -107,12 +108,13 @@ def _kind(seg: str, n: int, hot: set[str]) -> tuple[str, int]:
     """Kind of a segment of n visible characters, and the number of its listed items."""
     linked = tagged = 0
     rest = seg
-    if "." in seg or "(" in seg or "[" in seg or "<" in seg:
+    if "." in seg[:-2] or "(" in seg or "[" in seg or "<" in seg:
         rest = _FILE.sub(" ", rest)
-        for m in LINK.finditer(rest):
-            linked += len(m.group()) - m.group().count(" ")
-        if linked:
-            rest = LINK.sub(" ", rest)
+        if "." in rest[:-2] or "(" in rest or "[" in rest or "<" in rest:
+            for m in LINK.finditer(rest):
+                linked += len(m.group()) - m.group().count(" ")
+            if linked:
+                rest = LINK.sub(" ", rest)
     if "#" in rest or ":" in rest:
         for m in TAG.finditer(rest):
             tagged += len(m.group())
@@ -121,9 +123,9 @@ def _kind(seg: str, n: int, hot: set[str]) -> tuple[str, int]:
     rated = RATED.search(rest) is not None
     if "<" in rest or "&" in rest:
         rest = MARKUP.sub(" ", rest)
-    words = [w.casefold() for w in WORD.findall(rest)]
+    words = WORD.findall(rest.casefold())
     k = max(1, len(words))
-    fun = sum(w in FUNCTION_WORDS for w in words)
+    fun = sum(map(FUNCTION_WORDS.__contains__, words))
     if linked + tagged > LINKED * n and fun <= 0.2 * k:
         return ("link" if linked >= tagged else "tag"), 0
     if RECORD.match(seg):
@@ -131,9 +133,11 @@ def _kind(seg: str, n: int, hot: set[str]) -> tuple[str, int]:
     if rated and fun <= 0.25 * k:
         return "product", 0
     terms = len(words) - fun
-    again = [w for w in words if w in hot]
+    again = list(filter(hot.__contains__, words))
     if terms >= 2 and len(again) >= HOT * terms and (fun <= 0.12 * k or len(again) >= 2 * len(set(again))):
         return "stuffed", 0
+    if fun > 0.2 * k and len(words) >= 4:
+        return "prose", 0
     items = len(SEPARATORS.split(rest))
     if items >= 4 and len(words) <= 4 * items and fun <= (0.06 if items < 6 else 0.2) * k:
         return "list", items - 1
@@ -153,7 +157,7 @@ def features(text: str | None) -> list[float]:
     visible = sum(n for _, n in segments)
     if not visible:
         return [0.0] * len(FEATURES)
-    words = [w.casefold() for w in WORD.findall(MARKUP.sub(" ", t) if "<" in t or "&" in t else t)]
+    words = WORD.findall((MARKUP.sub(" ", t) if "<" in t or "&" in t else t).casefold())
     content = [w for w in words if w not in FUNCTION_WORDS]
     counts = Counter(content)
     least = max(3, 0.04 * len(content))
@@ -179,27 +183,32 @@ def features(text: str | None) -> list[float]:
     return [out[f] for f in FEATURES]
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 5.0, steps: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, scale, weights with the intercept last) of a logistic model, by Newton's method with a ridge penalty.
+def prior(x: np.ndarray) -> np.ndarray:
+    """Log odds of the plain rule: more than half of the characters."""
+    return 10.0 * (x[:, FEATURES.index("spam")] - 0.5)
 
-    With fewer than ten pages of either kind the model is the plain rule: more than half of the characters."""
-    mean, scale = np.zeros(x.shape[1]), np.ones(x.shape[1])
-    if min(y.sum(), (1 - y).sum()) < 10:
-        w = np.zeros(x.shape[1] + 1)
-        w[FEATURES.index("spam")], w[-1] = 10.0, -5.0
-        return mean, scale, w
-    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
+
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 100.0, steps: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, scale, weights with the intercept last) of a logistic model on top of the plain rule, by Newton's method;
+    the ridge penalty holds the weights near zero, so few reviewed pages move the rule little, and none not at all."""
+    if not len(x):
+        return np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(len(FEATURES) + 1)
+    mean, scale, base = x.mean(0), np.maximum(x.std(0), 1e-6), prior(x)
     z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
-    w = np.zeros(z.shape[1])
-    penalty = ridge * np.eye(len(w))
-    penalty[-1, -1] = 0
+    w, penalty = np.zeros(z.shape[1]), ridge * np.eye(z.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (p - y) + penalty @ w
-        w -= np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + penalty, grad)
+        p = 1 / (1 + np.exp(-np.clip(base + z @ w, -30, 30)))
+        w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + penalty, z.T @ (p - y) + penalty @ w)
     return mean, scale, w
 
 
+def score(x: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Probability of a case; 0 for a text without visible characters."""
+    mean, scale, w = model
+    p = 1 / (1 + np.exp(-np.clip(prior(x) + ((x - mean) / scale) @ w[:-1] + w[-1], -30, 30)))
+    return np.where(x[:, FEATURES.index("length")] == 0, 0.0, p)
+
+
 def judged(labels: DataFrame) -> DataFrame:
     """``doc_id, y`` (1 spam, 0 ok) of reviewed pages: labels in any spelling, repeated rows once, pages with other,
     missing or contradicting labels left out."""
@@ -224,13 +233,12 @@ def stuffed_pages(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     sample = docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "text", "y").mapInArrow(described, schema).collect()
     x, y = np.array([r["x"] for r in sample]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in sample])
     order = np.argsort([r["doc_id"] for r in sample])  # the fit does not depend on the order of arrival
-    mean, scale, w = fit(x[order], y[order])
+    model = fit(x[order], y[order])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = np.array([features(t) for t in b.column(1).to_pylist()]).reshape(-1, len(FEATURES))
-            p = 1 / (1 + np.exp(-np.clip(((f - mean) / scale) @ w[:-1] + w[-1], -30, 30)))
-            p[f[:, FEATURES.index("length")] == 0] = 0.0
+            p = score(f, model)
             m = np.flatnonzero(p > 0.5)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(m)), pa.array(p[m])], ["doc_id", "score"])
 
