@@ -69,6 +69,15 @@ def slots(rows: DataFrame, group: str = "group_id") -> DataFrame:
     return rows.withColumn("slot", F.row_number().over(w) - 1)
 
 
+def candidate_folders(members: DataFrame, trash: str, prefix: str = "_") -> DataFrame:
+    """``group_id, dir``: where a broken move may have left files: the plain group folder, and those named after any member
+    (group_id, path)."""
+    top = F.lit(trash.rstrip("/") + "/")
+    plain = members.select("group_id", F.concat(top, F.lit("group_"), F.col("group_id").cast("string")).alias("dir"))
+    named = members.filter("path is not null").select("group_id", F.concat(top, group_folder(F.col("path"), prefix, F.col("group_id").cast("string"))).alias("dir"))
+    return plain.union(named).distinct()
+
+
 def recovered(missing: DataFrame, already: DataFrame, folders: DataFrame, trash: DataFrame) -> DataFrame:
     """``group_id, file_id, moved_to`` of missing members found in the trash after a crash.
 
@@ -94,6 +103,11 @@ def exact_copies(members: DataFrame, contents: DataFrame, kept: DataFrame) -> Da
     return m.filter("file_id <> kept_id").select("group_id", "file_id", (F.col("sha") == F.col("kept_sha")).alias("exact"))
 
 
+def copy_counts(exact: DataFrame) -> DataFrame:
+    """Per group the members checked against the kept file and the exact copies among them."""
+    return exact.groupBy("group_id").agg(F.count("exact").alias("checked"), F.count_if("exact").alias("exact_copies"))
+
+
 def move_plan(present: DataFrame, trash: str, prefix: str = "_", keep_by: str = "size", used: DataFrame | None = None) -> DataFrame:
     """What to move: ``group_id, file_id, path, size, kept_id, kept_path, folder, target``.
 
@@ -122,8 +136,11 @@ def finalized(members: DataFrame, groups: DataFrame, files: DataFrame, hashes: D
         F.when(~F.coalesce(kept, F.lit(False)) & moved, F.coalesce("moved_at", as_of)).alias("moved_at"),
     )
     n = plan.groupBy("group_id").agg(F.count("*").alias("moved_count"))
+    if "moved_count" in groups.columns:  # what earlier moves counted
+        groups = groups.withColumnRenamed("moved_count", "moved_before")
     g = groups.join(k.select(F.col("group_id").alias("id"), "kept_now"), "id", "left").join(n.withColumnRenamed("group_id", "id"), "id", "left")
-    g = g.withColumn("kept_path", F.coalesce("kept_now", "kept_path")).withColumn("moved_count", F.coalesce("moved_count", F.lit(0))).drop("kept_now").withColumn("keep_by", F.lit(keep_by))
+    before = F.coalesce("moved_before", F.lit(0)) if "moved_before" in g.columns else F.lit(0)
+    g = g.withColumn("kept_path", F.coalesce("kept_now", "kept_path")).withColumn("moved_count", before + F.coalesce("moved_count", F.lit(0))).drop("kept_now", "moved_before").withColumn("keep_by", F.lit(keep_by))
     gone = m.filter("moved_to is not null").select("file_id").unionByName(missing.select("file_id")).distinct()
     f = files.join(gone.select(F.col("file_id").alias("id"), F.lit(True).alias("gone")), "id", "left")
     newly = F.col("gone") & (F.col("status") != "moved")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import hashes, media, names, paths, times
 from .functions.hashes import bucket
+from .functions.media import percent as percent_done
 from .operators import graph, skew
 from .operators.hamming import bucket_links
 from .plans import catalog, jobs, move, overrides, reports
@@ -865,3 +866,27 @@ def SC15_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def SC18_thumbnail_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cache keys of the files."""
     return table(spark, sf_dir, "files").select("id", media.thumbnail_key(F.col("path")).alias("key"))
+
+
+@query("""WITH t AS (SELECT file_id, min(text) AS content FROM documents WHERE file_id IS NOT NULL AND text IS NOT NULL GROUP BY file_id),
+m AS (SELECT DISTINCT group_id, file_id FROM group_members), k AS (SELECT m.group_id, min(m.file_id) AS kept_id FROM m JOIN t USING (file_id) GROUP BY m.group_id)
+SELECT m.group_id, count(a.content) AS checked, count(*) FILTER (a.content = b.content) AS exact_copies FROM m JOIN k USING (group_id) LEFT JOIN t a ON a.file_id = m.file_id JOIN t b ON b.file_id = k.kept_id WHERE m.file_id <> kept_id GROUP BY m.group_id""")
+def A11_copy_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact copies of every group's first file."""
+    return move.copy_counts(J7_exact_copies(spark, sf_dir).withColumn("exact", F.col("exact").cast("boolean")))
+
+
+@query("WITH " + _SAFE.format(name="'_' || regexp_extract(path, '[^/]*$')") + f""", {_CUR}
+SELECT DISTINCT group_id, '/trash/' || name AS dir FROM (SELECT m.group_id, 'group_' || m.group_id AS name FROM group_members m JOIN cur ON cur.id = m.file_id UNION SELECT m.group_id, name FROM group_members m JOIN cur ON cur.id = m.file_id JOIN safe USING (path))""")
+def T3_candidate_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders in which files of every group may lie after a broken move."""
+    m = _members(spark, sf_dir).select("group_id", "file_id").join(_files(spark, sf_dir).select(F.col("id").alias("file_id"), "path"), "file_id")
+    return move.candidate_folders(m, "/trash")
+
+
+@query(f"""SELECT id, CASE WHEN confirmed THEN 'scan' ELSE 'idle' END AS stage, round(least(100.0::DOUBLE * member_count / nullif(total_size // 1000000, 0), 100.0::DOUBLE), 1) AS percent, count(*) AS n FROM groups GROUP BY ALL""")
+def W13_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress lines, with groups read as states of stages."""
+    g = table(spark, sf_dir, "groups").withColumn("stage", F.when(F.col("confirmed"), "scan").otherwise("idle")).withColumn("total", F.floor(F.col("total_size") / 1_000_000))
+    g = g.withColumn("processed", F.col("member_count").cast("bigint"))
+    return g.groupBy("id", "stage", percent_done(F.col("processed"), F.col("total")).alias("percent")).agg(F.count("*").alias("n"))

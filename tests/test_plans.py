@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mirrorfold.functions import media, times
-from mirrorfold.plans import catalog, jobs, move, overrides
+from mirrorfold.plans import catalog, jobs, move, overrides, status
 from mirrorfold.sources import images, listing, schemas, settings, sinks
 from mirrorfold.streaming import ingest
 
@@ -57,10 +57,16 @@ def test_move_and_finalize(spark):
     assert {(r.file_id, r.role, r.moved_to) for r in m.collect()} == {(1, "kept", None), (2, "dup", "/trash/_IMG.jpg/IMG.jpg"), (3, "dup", "/trash/_IMG.jpg/IMG_1.jpg")}
     assert {(r.id, r.status) for r in f.collect()} == {(1, "ok"), (2, "moved"), (3, "moved")}
     assert [r.file_id for r in h.collect()] == [1] and g.first().moved_count == 2
+    again = move.finalized(m, g, f, h, plan.limit(0), none, "size", now())
+    assert again[1].first().moved_count == 2 and roles_of(again[0]) == roles_of(m)
     text = move.reports(plan).first().text
     assert text.splitlines()[:3] == ["group 10", "kept: /s/IMG.jpg", "moved: /t/IMG.jpg -> /trash/_IMG.jpg/IMG.jpg"]
 
 
+def roles_of(m):
+    return {(r.file_id, r.role, r.moved_to) for r in m.collect()}
+
+
 def test_recovery(spark):
     miss = spark.createDataFrame([(10, 2, "/t/IMG.jpg", 5), (10, 3, "/u/IMG.jpg", 5), (10, 4, "/v/X.jpg", 5)], "group_id BIGINT, file_id BIGINT, path STRING, size BIGINT")
     already = spark.createDataFrame([], "group_id BIGINT, moved_to STRING, path STRING")
@@ -240,3 +246,13 @@ def test_streaming_resume(spark, tmp_path):
     for _ in range(2):
         ingest.resume(spark, land, str(tmp_path / "cp"), lambda: (f, h), lambda d, n: got.extend(r.path for r in d.collect())).awaitTermination()
     assert got == ["/b.jpg"]
+
+
+def test_status(spark):
+    s = spark.createDataFrame([(1, "idle", 0, 0, None, 0.0, None, AT(0), 1, True, None, True)], schemas.SCHEMAS["status"])
+    s = status.progressed(status.started(s, "scan", 200, 7, now()), 50, "/a", 2.0, now())
+    r = s.first()
+    assert (r.stage, r.total, r.stop_requested, r.runner_paused) == ("scan", 200, False, True)
+    assert tuple(status.shown(s).first()) == ("scan", 25.0, "1:15")
+    s = status.idle(status.stop_requested(status.paused(s, False)), now())
+    assert tuple(status.shown(s).first()) == ("idle", 25.0, None) and not s.first().runner_paused
