@@ -230,7 +230,8 @@ def stuffed_pages(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([features(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
     known = judged(labels).orderBy(F.xxhash64("doc_id")).limit(fit_rows)
-    sample = docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "text", "y").mapInArrow(described, schema).collect()
+    # ``fit_rows`` rows of two numbers at most, so they are broadcast and no text moves
+    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "y").mapInArrow(described, schema).collect()
     x, y = np.array([r["x"] for r in sample]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in sample])
     order = np.argsort([r["doc_id"] for r in sample])  # the fit does not depend on the order of arrival
     model = fit(x[order], y[order])
