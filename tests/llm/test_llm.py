@@ -51,7 +51,7 @@ def test_nearest_is_exact_at_factor_one(spark):
     vec = vectors(150, 1, 8)
     df = hash_rows(spark, vec)
     dirty = df.unionByName(df).unionByName(spark.createDataFrame([(2, 0, b"\0" * 8), (None, 1, b"\0" * 8), (5, None, b"\0" * 8), (6, 0, None), (8, 0, b"\0" * 16)], HASHES))
-    got = {tuple(r) for r in nearest.nearest_files(dirty.withColumn("distance", F.lit(1)).withColumn("id", F.lit(2)), shard_factor=1.0).collect()}
+    got = {tuple(r) for r in nearest.nearest_files(dirty.withColumn("distance", F.lit(1)).withColumn("id", F.lit(2)), factor=1.0).collect()}
     assert got == nearest_pairs(vec)
 
 
@@ -81,24 +81,73 @@ def cloud(n, seed, star):
     return x
 
 
-@pytest.mark.parametrize(("star", "factor", "least"), [(True, 1.0, 1.0), (False, 1.0, 1.0), (False, 0.4, 0.95)])
+def near_links(x, k=3, radius=40):
+    d = nearest._distance(x[:, None, :], x[None, :, :]).astype(int)
+    return {(i, j) for i in range(len(x)) for _, j in sorted((d[i, j], j) for j in np.flatnonzero(d[i] <= radius).tolist() if j != i)[:k]}, d
+
+
+@pytest.mark.parametrize(("star", "factor", "least"), [(True, 1.0, 1.0), (False, 1.0, 1.0), (False, 0.5, 0.99), (False, 0.125, 0.95)])
 def test_trees_prune_without_loss_and_relaxed_with_recall(star, factor, least):
     x = cloud(600, 0, star)
-    d = nearest._distance(x[:, None, :], x[None, :, :]).astype(int)
-    a, b, dist = nearest.shard_links(np.zeros(600, np.int64), np.arange(600), x, 3, 40, factor)
-    want = {(i, j) for i in range(600) for _, j in sorted((d[i, j], j) for j in np.flatnonzero(d[i] <= 40).tolist() if j != i)[:3]}
+    want, d = near_links(x)
+    a, b, dist = nearest.shard_links(x, np.arange(600), np.ones(600, bool), 3, 40, factor)
     got = set(zip(a.tolist(), b.tolist()))
-    assert len(got & want) >= least * len(want)
+    both = got | {(j, i) for i, j in got}  # as the operator takes them
+    assert len(both & want) >= least * len(want)
     assert all(d[i, j] == k for i, j, k in zip(a, b, dist))
 
 
-def test_crowded_shards_are_split_without_loss(spark):
-    x = cloud(400, 3, False).view(np.int64)
-    x[:, 0] = 5  # one word in common: all vectors share its shards
-    words = [f"w{k}" for k in range(8)]
-    df = spark.createDataFrame([(i, *map(int, v)) for i, v in enumerate(x)], "id BIGINT, " + ", ".join(f"{w} BIGINT" for w in words))
-    plain = {tuple(r) for r in nearest.nearest_vectors(df, words).collect()}
-    assert plain and {tuple(r) for r in nearest.nearest_vectors(df, words, tree=60).collect()} == plain
+def test_visitors_ask_but_are_not_found():
+    x = cloud(300, 1, False)
+    home = np.arange(300) % 3 != 1
+    a, b, _ = nearest.shard_links(x, np.arange(300), home, 3, 40, 1.0)
+    want = {(i, j) for i, j in near_links(x, k=299)[0] if home[j]}
+    assert set(zip(a.tolist(), b.tolist())) <= want and {i for i, _ in want} == set(a.tolist()) and home[b].all()
+
+
+WORDS8 = [f"w{k}" for k in range(8)]
+
+
+def vector_rows(spark, x):
+    return spark.createDataFrame([(i, *map(int, v)) for i, v in enumerate(x.view(np.int64))], "id BIGINT, " + ", ".join(f"{w} BIGINT" for w in WORDS8))
+
+
+@pytest.mark.parametrize("star", [True, False])
+def test_shards_are_exact_at_factor_one(spark, star):
+    """Many small shards, grown in rounds, some of them held by several tasks."""
+    x = cloud(1500, 3, star)
+    want, _ = near_links(x)
+    df = vector_rows(spark, x).withColumn("task", F.lit(1)).withColumn("home", F.lit(1))
+    part = {"shard": 400, "sample": 64, "visitors": 200}
+    assert {(r.id, r.near_id) for r in nearest.nearest_vectors(df, WORDS8, factor=1.0, **part).collect()} == want
+    done = nearest.nearest_vectors(df, WORDS8, factor=1.0, tasks=True, **part).collect()
+    assert len(done) > 3 and sum(r.visitors for r in done) > 0
+    loose = {(r.id, r.near_id) for r in nearest.nearest_vectors(df, WORDS8, factor=0.25, **part).collect()}
+    assert len(loose & want) >= (0.8 if star else 0.95) * len(want)
+
+
+def test_recall_and_work_of_the_trees(spark):
+    """sf0.1, queries with an id divisible by 20 against all rows: recall, and that the rows come through trees."""
+    files = spark.read.parquet("/root/testdata/sf0.1/hashes.parquet").filter("length(phash) = 8").groupBy("file_id").agg(*[F.max(F.when(F.col("variant") == v, nearest.word(F.col("phash")))).alias(w) for v, w in enumerate(WORDS8)]).dropna()
+    df = files.groupBy(*WORDS8).agg(F.min("file_id").alias("id")).select("id", *WORDS8)
+    t = df.toArrow()
+    ids, x = t.column("id").to_numpy(), nearest._matrix(t, WORDS8)
+    o = np.argsort(ids)
+    ids, x = ids[o], x[o]
+    want = set()
+    for i in np.flatnonzero(ids % 20 == 0):
+        d = nearest._distance(x, x[i])
+        want |= {(int(ids[i]), int(ids[j])) for _, j in sorted((d[j], j) for j in np.flatnonzero(d <= 40) if j != i)[:3]}
+    recall = {}
+    for factor in (nearest.FACTOR, 0.25):
+        got = {(r.id, r.near_id) for r in nearest.nearest_vectors(df, WORDS8, factor=factor).filter("id % 20 = 0").collect()}
+        recall[factor] = len(got & want) / len(want)
+        assert len(got & want) >= 0.97 * len(got)
+    print("recall by factor", recall)
+    assert recall[nearest.FACTOR] >= 0.97 and recall[0.25] >= 0.99
+    done = nearest.nearest_vectors(df, WORDS8, tasks=True).collect()
+    assert sum(r.members for r in done) == len(ids) and max(r.members for r in done) <= 2 * nearest.SHARD
+    assert sum(r.links for r in done if r.members > nearest.LEAF) >= 0.99 * sum(r.links for r in done) > 0
 
 
 def test_nearest_empty(spark):
