@@ -3,7 +3,8 @@
 Vectors are bit strings of several 64-bit words under the Hamming distance. A vantage-point tree cuts the collection into
 shards; each shard holds such a tree over its own vectors. A subtree is left out when the triangle inequality, with the
 search radius multiplied by ``factor``, rules it out: factor one is exact, a lower one gives up neighbours whose
-distances to a vantage point differ by more than that.
+distances to a vantage point differ by more than that. A query that has k neighbours already is not relaxed any more:
+around one original, where copies differ from it each in its own way, distances to a vantage point tell nearly all.
 
 * The top of the tree is grown on the driver from bounded samples (``SAMPLE`` vectors a round; leaves that stay too large
   are sampled again and grown on). A vector lives in one leaf, its shard, and is sent as a query to every other shard within reach.
@@ -49,6 +50,12 @@ def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return d
 
 
+def relaxed(tau: np.ndarray, radius: int, factor: float) -> np.ndarray:
+    """How far a query with the present reach ``tau`` looks across a boundary: the share ``factor`` of the radius as long as it
+    lacks neighbours; the whole of tau, which is exact, once it has k of them."""
+    return np.where(tau < radius, tau, factor * radius)
+
+
 @dataclass
 class Node:
     """A vantage point with the largest distance of its inner side; a leaf has none, but the positions or rows it holds."""
@@ -155,7 +162,7 @@ def search_tree(node: Node, x: np.ndarray, q: np.ndarray, home: np.ndarray, y: n
         search_tree(node.outer, x, q[~inner], home[~inner], y, best, factor, True)
         return
     tau = best.reach(q)
-    reach = np.minimum(tau, factor * best.radius)
+    reach = relaxed(tau, best.radius, factor)
     new = ~home & (d <= tau)
     if new.any():
         best.add(q[new], np.arange(int(new.sum())), np.repeat(node.rows, int(new.sum())), d[new])
@@ -296,7 +303,7 @@ def top_tree(vectors: DataFrame, words: list[str], k: int, radius: int, factor:
             leaves[i].__dict__.update(part.__dict__)
     top, leaves = flatten(root, len(words))
     shard, tau = top.homes(first, k, radius)
-    to = top.visits(first, shard, np.minimum(tau, reach))[1]
+    to = top.visits(first, shard, relaxed(tau, radius, factor))[1]
     come = np.bincount(to, minlength=len(leaves)) * (n / max(1, len(first)))
     top.blocks = np.maximum(1, np.ceil(come / visitors)).astype(np.int64)
     top.start = np.cumsum(top.blocks) - top.blocks
@@ -323,7 +330,7 @@ def nearest_vectors(vectors: DataFrame, words: list[str], k: int = 3, radius: in
         for b in batches:
             x, ids = _matrix(b, words), b.column("id").to_numpy()
             own, tau = top.homes(x, k, radius)
-            rows, to = top.visits(x, own, np.minimum(tau, factor * radius))
+            rows, to = top.visits(x, own, relaxed(tau, radius, factor))
             copies = top.blocks[own]  # a shard asked by very many is held by several tasks
             member = np.repeat(np.arange(len(x)), copies)
             block = np.arange(len(member)) - np.repeat(np.cumsum(copies) - copies, copies)
