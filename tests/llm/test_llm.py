@@ -233,7 +233,7 @@ def test_known_records_against_brute_force(spark):
             known.add(f)
     df = spark.createDataFrame(inc_rows, INCOMING).withColumn("order", F.lit(1)).withColumn("best", F.lit(1))
     hist = spark.createDataFrame([(h,) for h in olds] + [(None,), (b"",), (b"abc",)], "phash BINARY")
-    pdf = spark.createDataFrame([(p,) for p in paths] + [(None,)], "path STRING")
+    pdf = spark.createDataFrame([(i, p) for i, p in enumerate(paths)] + [(99, None)], "id BIGINT, path STRING")
     assert {r.file_id for r in history.known_records(pdf, hist, df).collect()} == known
     assert history.known_records(pdf, hist, df.limit(0)).collect() == []
     fresh = history.known_records(pdf.limit(0), hist.limit(0), df)
@@ -244,10 +244,64 @@ def test_history_grows_by_batches(spark, tmp_path):
     h = history.ChunkHistory(spark, str(tmp_path / "h"))
     a = spark.createDataFrame([(0, 1, "/a", [b"\0" * 8]), (0, 2, "/A", [b"\xff" * 8])], INCOMING)
     known = h.judge(a)
-    assert [r.file_id for r in known.collect()] == [2]
+    assert [tuple(r) for r in known.collect()] == [(2, True, False)]
     h.append(a, known)
     b = spark.createDataFrame([(1, 3, "/b", [b"\0" * 7 + b"\x0f"]), (1, 4, "/c", [b"\xff" * 8]), (1, 5, "/a/", None)], INCOMING)
-    assert sorted(r.file_id for r in h.judge(b).collect()) == [3, 5]  # 2 was not accepted, so its hash is not known
+    assert sorted(tuple(r) for r in h.judge(b).collect()) == [(3, False, True), (5, True, False)]  # 2 was not accepted, so its hash is not known
+    h.append(b)
+    again = history.ChunkHistory(spark, str(tmp_path / "h"))  # as another session would take it up
+    spark.sql(f"DROP TABLE {h.hashes}")
+    spark.sql(f"DROP TABLE {h.paths}")
+    c = spark.createDataFrame([(2, 9, "/zzz", [b"\xff" * 7 + b"\xf0"]), (2, 10, "//C", []), (2, 11, "/d", [None])], INCOMING)
+    assert sorted(tuple(r) for r in again.judge(c).collect()) == [(9, False, True), (10, True, False)]
+    assert again.judge(c.limit(0)).collect() == []
+    again.drop()
+
+
+def test_a_batch_reads_only_its_buckets_and_moves_no_history(spark, tmp_path):
+    rng = random.Random(8)
+    h = history.ChunkHistory(spark, str(tmp_path / "h"))
+    old = spark.createDataFrame([(rng.getrandbits(64).to_bytes(8, "big"),) for _ in range(5000)], "phash BINARY")
+    h.begin(spark.createDataFrame([(i, f"/p/{i}.jpg") for i in range(500)], "id BIGINT, path STRING"), old)
+    layout = h.layout
+    one = spark.createDataFrame([(12345, 0, 8, 7)], "w1 BIGINT, w2 BIGINT, size INT, order BIGINT")
+    asked = history.asked_chunks(one, layout)
+    places = [r.place for r in asked.select("place").distinct().collect()]
+    assert len(places) <= 5 < layout.buckets
+    near = h.touched(places).groupBy("place").cogroup(asked.groupBy("place")).applyInArrow(history._judge_bucket(layout.masks, 4), "w1 long, w2 long, size int, best long")
+    plan = near._jdf.queryExecution().toString()
+    assert f"SelectedBucketsCount: {len(places)} out of {layout.buckets}" in plan
+    assert plan[plan.index("== Physical Plan =="):].count("Exchange") == 1  # the batch's side only
+
+    def kept():  # hash chunks in the buckets the batch asks for
+        return sum(len(bytes(r.w1)) // 8 for r in h.touched(places).collect())
+
+    before = kept()
+    for k in range(3):  # appends that share no bucket with it leave what it reads as it is
+        far = next(x for x in iter(lambda: rng.getrandbits(64), None) if not {r.place for r in history.asked_chunks(spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, 0, 8, 1)], one.schema), layout).collect()} & set(places))
+        h.append(spark.createDataFrame([(k, 900 + k, f"/q/{k}", [far.to_bytes(8, "big")])], INCOMING))
+        assert kept() == before
+    h.drop()
+
+
+def test_crowded_chunks_are_cut_again():
+    rng = np.random.default_rng(9)
+    w = rng.integers(0, 2**63, 3000, dtype=np.uint64) & ~np.uint64(history.kinds_of(4)[0][1])  # one chunk in common
+    for _ in range(4):
+        w[1::2] = np.where(rng.random(1500) < 0.7, w[::2], w[1::2])
+        w[1::2] ^= np.uint64(1) << rng.integers(0, 64, 1500, dtype=np.uint64) & ~np.uint64(history.kinds_of(4)[0][1])
+    w = np.unique(w & ~np.uint64(history.kinds_of(4)[0][1]))
+    z, size, at = np.zeros(len(w), np.uint64), np.full(len(w), 8), np.arange(len(w))
+    d = np.bitwise_count(w[:, None] ^ w[None, :])
+    want = {(i, j) for i, j in zip(*np.nonzero(d <= 4)) if i < j}
+    got = lambda left, right: {(min(x), max(x)) for i, j in history.close(w, z, size, left, right, 4, history._bits(8, 4, 0)) for x in zip(i.tolist(), j.tolist())}
+    pairs, history.PAIRS = history.PAIRS, 1 << 12
+    try:
+        assert len(want) > 500 and got(at, None) == want
+        left, right = at[::2], at[1::2]
+        assert got(left, right) == {p for p in want if (p[0] + p[1]) % 2}
+    finally:
+        history.PAIRS = pairs
 
 
 def test_chunks_follow_content():
@@ -258,9 +312,13 @@ def test_chunks_follow_content():
         data = np.concatenate([np.frombuffer(head, np.uint8), tail])
         ends.append({int(e) - len(head) for e in history.chunk_ends(data, np.array([len(data)]))})
     assert len(ends[0] & ends[1]) > 40 and len(ends[0] ^ ends[1]) <= 4
-    data = np.frombuffer(b"abcabcabd", np.uint8)
-    r1, r2 = history.recipes(data, np.array([3, 3, 6, 9]))
-    assert r1[0] == r1[2] and r2[0] == r2[2] and len({*zip(r1, r2)}) == 3
+    blobs = [b"abc", b"", b"abc", b"abd", b"", b"/a/common/beginning/of/some/length/1.jpg", b"/a/common/beginning/of/some/length/2.jpg"]
+    owner, k1, k2, size = history.chunk_keys(blobs)
+    keys = [{(a, b): int(n) for a, b, n in zip(k1[owner == i], k2[owner == i], size[owner == i])} for i in range(len(blobs))]
+    assert keys[0] == keys[2] and keys[1] == keys[4] and len({*keys[0], *keys[1], *keys[3]}) == 3
+    assert [sum(k.values()) for k in keys] == [len(b) + 1 for b in blobs]
+    both = set(keys[5]) & set(keys[6])
+    assert 0 < sum(keys[5][k] for k in both) < len(blobs[5])  # they share bytes, but neither covers the other
 
 
 # ---- representative --------------------------------------------------------------------------------------------------
