@@ -258,7 +258,8 @@ def test_history_grows_by_batches(spark, tmp_path):
     again.drop()
 
 
-def test_a_batch_reads_only_its_buckets_and_moves_no_history(spark, tmp_path):
+def test_a_batch_reads_only_its_buckets_and_moves_no_history(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "BUCKET_CHUNKS", 3000)
     rng = random.Random(8)
     h = history.ChunkHistory(spark, str(tmp_path / "h"))
     old = spark.createDataFrame([(rng.getrandbits(64).to_bytes(8, "big"),) for _ in range(5000)], "phash BINARY")
@@ -277,9 +278,14 @@ def test_a_batch_reads_only_its_buckets_and_moves_no_history(spark, tmp_path):
         return sum(len(bytes(r.w1)) // 8 for r in h.touched(places).collect())
 
     before = kept()
-    for k in range(3):  # appends that share no bucket with it leave what it reads as it is
-        far = next(x for x in iter(lambda: rng.getrandbits(64), None) if not {r.place for r in history.asked_chunks(spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, 0, 8, 1)], one.schema), layout).collect()} & set(places))
-        h.append(spark.createDataFrame([(k, 900 + k, f"/q/{k}", [far.to_bytes(8, "big")])], INCOMING))
+    def buckets(x):
+        w = np.array([x], np.uint64)
+        return {int(layout.place[layout.home[layout.slots(w, w * np.uint64(0), k)[0]]]) for k in range(5)}
+
+    far = [x for x in (rng.getrandbits(64) for _ in range(2000)) if not buckets(x) & set(places)]
+    assert buckets(12345) == set(places) and len(far) > 20
+    for k in range(2):  # appends that share no bucket with the batch leave what it reads as it is
+        h.append(spark.createDataFrame([(k, 900 + k, f"/q/{k}", [x.to_bytes(8, "big") for x in far[10 * k : 10 * k + 10]])], INCOMING))
         assert kept() == before
     h.drop()
 
