@@ -59,6 +59,14 @@ def properties(kind: Column, width: Column, height: Column, created: Column, opt
     return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
 
 
+def merged_json(info: Column, new: dict[str, Column]) -> Column:
+    """JSON object with the keys of ``new`` set anew and all others kept, values as text; a missing or broken object counts
+    as empty, a null value takes its key out."""
+    old = F.coalesce(F.from_json(info, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    given = F.create_map(*[x for k, v in new.items() for x in (F.lit(k), v.cast("string"))])
+    return F.to_json(F.map_filter(F.map_concat(F.map_filter(old, lambda k, _: ~k.isin(*new)), given), lambda _, v: v.isNotNull()))
+
+
 def human_size(n: Column) -> Column:
     """Size in steps of 1024: whole bytes, one decimal (half to even) above; a dash for null."""
     out = F.format_string("%.1f TB", F.bround(n / 1024.0**4, 1))

@@ -6,27 +6,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import copy_marks
-from ..shared import cut, drop_cut
+from ..shared import HEAVY_ROWS, cut, drop_cut, heavy_keys, lookup
 
 
-def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 64, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """``vertex, component`` for every end of ``edges`` (a, b LONG), component being the least vertex reachable.
 
-    Each round lets every vertex take the least label among its own, its neighbours' and its label's own label (pointer
-    jumping), so that labels travel in doubling steps along chains. Rounds are cut in the shared folder. Raises
-    RuntimeError rather than return unfinished labels. Null ends are dropped; no edges give no rows."""
+    Labels are a forest in which every vertex points to a smaller one. Each round, every vertex and the vertex it points to are
+    pointed to the least label of a label among the neighbours, and every vertex also to its own label's label: whole trees
+    hook, and their depth halves, so that rounds grow with the logarithm of the longest chain, however its ids are mixed.
+    Edges are kept by their far end; a hub's edges, and the vertices of a large tree, are looked up by broadcast (see
+    :func:`mirrorfold.shared.lookup`), never in one task. Rounds are cut in the shared folder. Raises RuntimeError
+    rather than return unfinished labels. Null ends are dropped; no edges give no rows."""
     e = edges.select("a", "b").filter("a is not null and b is not null")
     both = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    lab = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("vertex"), F.least("a", "m").alias("component")))
+    degree = cut(both.groupBy("b").agg(F.count("*").alias("n"), F.min("a").alias("m")))
+    hubs = heavy_keys(degree, ["b"], heavy_rows)
+    lab = cut(degree.select(F.col("b").alias("vertex"), F.least("b", "m").alias("component")))
+    drop_cut(degree)
     for _ in range(most_rounds):
-        of = lab.select(F.col("vertex").alias("b"), F.col("component").alias("l"))
-        seen = both.join(of, "b").groupBy(F.col("a").alias("vertex")).agg(F.min("l").alias("near"))
-        step = lab.join(seen, "vertex").select("vertex", "component", F.least("component", "near").alias("new"))
-        jump = lab.select(F.col("vertex").alias("new"), F.col("component").alias("far"))
-        new = cut(step.join(jump, "new", "left").select("vertex", F.least("new", "far").alias("component"), (F.least("new", "far") < F.col("component")).alias("moved")))
+        up = lab.select(F.col("vertex").alias("component"), F.col("component").alias("up"))
+        two = cut(lookup(lab, up, ["component"], heavy_rows=heavy_rows).select("vertex", "component", "up"))
+        seen = lookup(both, two.select(F.col("vertex").alias("b"), "up"), ["b"], heavy=hubs)
+        near = seen.groupBy(F.col("a").alias("vertex")).agg(F.min("up").alias("near"))
+        met = two.join(near, "vertex")
+        # what a vertex, and the vertex it points to, may point to now; the minimum combines map-side
+        offers = F.explode(F.array(F.struct(F.col("vertex").alias("v"), F.least("near", "up").alias("to")), F.struct(F.col("component").alias("v"), F.col("near").alias("to")))).alias("o")
+        best = met.select(offers).groupBy(F.col("o.v").alias("vertex")).agg(F.min("o.to").alias("to"))
+        new = cut(lab.join(best, "vertex").select("vertex", F.least("component", "to").alias("component"), (F.col("to") < F.col("component")).alias("moved")))
         drop_cut(lab)
+        drop_cut(two)
         lab = new
         if lab.filter("moved").isEmpty():
+            drop_cut(both)
             return lab.drop("moved")
     raise RuntimeError(f"components unfinished after {most_rounds} rounds")
 

@@ -19,7 +19,9 @@ def hashed_ids(hashes: DataFrame) -> DataFrame:
 
 def to_scan(listing: DataFrame, files: DataFrame, hashes: DataFrame, force: bool = False) -> DataFrame:
     """Rows of ``listing`` (path, size, mtime) that need hashing: all of them by ``force``, else those without an
-    unchanged catalog row that is corrupt or has hashes."""
+    unchanged catalog row that is corrupt or has hashes. A NaN ``mtime`` is unknown: it comes out as null and equals
+    nothing, so such a file is always scanned again; so is one whose size or time is null."""
+    listing = listing.withColumn("mtime", F.nanvl("mtime", F.lit(None)))
     if force:
         return listing
     known = current(files).join(hashed_ids(hashes).withColumn("has", F.lit(True)), F.col("id") == F.col("file_id"), "left").filter("status = 'corrupt' or has")

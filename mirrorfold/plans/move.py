@@ -3,6 +3,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from ..functions.names import group_folder, numbered
 from ..functions.paths import basename, extension, name_key_udf, stem
 from ..functions.times import show_capture
 from ..operators.graph import survivor
+from ..shared import cut, lookup
 
 MOVED = "moved to trash or missing (noted by move)"
 
@@ -30,31 +34,45 @@ def classified(members: DataFrame, files: DataFrame, listing: DataFrame) -> Data
     return m.withColumn("where", F.when(F.col("moved_to").isNotNull(), "already").when(F.col("there"), "present").otherwise("missing")).drop("there")
 
 
-def unique_names(names: DataFrame, key: str, name: str, used: DataFrame | None = None, rounds: int = 20) -> DataFrame:
-    """``key, name`` with ``__2``, ``__3``... behind names that clash after NFC and case folding, the smallest key keeping
-    the plain name; ``used`` (name) is taken already.
-
-    A numbered name may equal another's plain name: such rows are numbered on, round by round, until none clash."""
-    todo = names.select(F.col(key).alias("k"), F.col(name).alias("want"), F.lit(0).alias("n"))
-    taken = (used.select(name_key_udf(F.col("name")).alias("c")) if used is not None else names.sparkSession.createDataFrame([], "c string")).distinct()
-    spark, done = names.sparkSession, None
-    from ..shared import cut  # noqa: PLC0415
-
-    todo, taken = cut(todo), cut(taken)
-    for _ in range(rounds):
-        if todo.isEmpty():
-            return done if done is not None else spark.createDataFrame([], names.select(key, name).schema)
-        # the next number of each is its turn among equal names, behind what it tried before
-        turn = F.row_number().over(Window.partitionBy(name_key_udf(F.col("want"))).orderBy("n", "k"))
-        base = F.when(F.col("n") == 0, turn).otherwise(F.col("n") + turn)
-        tried = cut(todo.withColumn("m", base).withColumn("got", numbered(F.col("want"), F.col("m"))).withColumn("c", name_key_udf(F.col("got"))))
-        first = F.row_number().over(Window.partitionBy("c").orderBy("m", "k"))
-        good = cut(tried.join(taken, "c", "left_anti").withColumn("r", first).filter("r = 1").drop("r"))
-        got = good.select(F.col("k").alias(key), F.col("got").alias(name))
-        done = got if done is None else done.unionByName(got)
-        todo = cut(tried.join(good.select("k"), "k", "left_anti").select("k", "want", F.greatest(F.col("m"), F.lit(1)).alias("n")))
-        taken = cut(taken.unionByName(good.select("c")))
-    raise RuntimeError(f"names still clash after {rounds} rounds")
+def _give_names(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Names of one family in the order of their keys; rows without a turn are taken names."""
+    taken = set(pdf.loc[pdf["turn"].isna(), "key"])
+    out, tried = [], {}
+    for row in pdf[pdf["turn"].notna()].sort_values("turn").itertuples(index=False):
+        got, key = row.want, row.key
+        if key in taken:
+            n = tried.get(row.want, 2)  # what was taken once stays taken
+            while True:
+                got = f"{row.stem}__{n}{row.ext}"
+                key = unicodedata.normalize("NFC", got).casefold()
+                if key not in taken:
+                    break
+                n += 1
+            tried[row.want] = n
+        taken.add(key)
+        out.append((row.turn, got))
+    return pd.DataFrame(out, columns=["turn", "got"])
+
+
+def unique_names(names: DataFrame, key: str, name: str, used: DataFrame | None = None) -> DataFrame:
+    """``key, name`` with ``__2``, ``__3``... behind names that clash after NFC and case folding, given out in the order of
+    ``key`` (LONG, unique): each takes its plain name, or the least number that is free. ``used`` (name) is taken already.
+
+    Names can only clash within a family: equal but for numbers behind ``__``. A family of one name is numbered by rank;
+    only one in which numbered names occur, or taken ones, is dealt out name by name, in one task each."""
+    todo = names.select(F.col(key).cast("bigint").alias("turn"), F.col(name).alias("want"))
+    if used is not None:
+        todo = todo.unionByName(used.select(F.lit(None).cast("bigint").alias("turn"), F.col("name").alias("want")))
+    todo = todo.withColumn("key", name_key_udf(F.col("want")))
+    todo = todo.withColumn("family", F.concat(F.regexp_replace(stem(F.col("key")), r"(__[0-9]+)+\z", ""), extension(F.col("key")))).select("*", stem(F.col("want")).alias("stem"), extension(F.col("want")).alias("ext"))
+    todo = cut(todo)
+    mixed = todo.groupBy("family").agg((F.min("key") != F.max("key")).alias("several"), F.max(F.col("turn").isNull()).alias("held")).filter("several or held").select("family")
+    plain = lookup(todo, mixed, ["family"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("family").orderBy("turn"))
+    plain = plain.select("turn", numbered(F.col("want"), rank).alias("got"))
+    dealt = todo.join(mixed, "family", "left_semi").groupBy("family").applyInPandas(_give_names, "turn long, got string")
+    kind = dict(names.dtypes)[key]
+    return plain.unionByName(dealt).select(F.col("turn").cast(kind).alias(key), F.col("got").alias(name))
 
 
 def slot_name(path: Column, slot: Column) -> Column:
@@ -78,19 +96,40 @@ def candidate_folders(members: DataFrame, trash: str, prefix: str = "_") -> Data
     return plain.union(named).distinct()
 
 
+def _replay(missing: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+    """Places of the missing members of one name in one group, taken in turn."""
+    placed = {d: int(n) for d, n in zip(there["dir"], there["taken"]) if n >= 0}
+    held = {(d, f): s for d, f, s, n in zip(there["dir"], there["found"], there["found_size"], there["taken"]) if n < 0}
+    out = []
+    for m in missing.sort_values(["size", "path", "file_id"], ascending=[False, True, True]).itertuples(index=False):
+        for d in sorted(set(there["dir"])):
+            k = placed.get(d, 0)
+            name = m.base if k == 0 else f"{m.stem}_{k}{m.ext}"
+            if (d, name) in held and held[d, name] == m.size:
+                placed[d] = k + 1
+                out.append((m.group_id, m.file_id, f"{d}/{name}"))
+                break
+    return pd.DataFrame(out, columns=["group_id", "file_id", "moved_to"])
+
+
 def recovered(missing: DataFrame, already: DataFrame, folders: DataFrame, trash: DataFrame) -> DataFrame:
-    """``group_id, file_id, moved_to`` of missing members found in the trash after a crash.
-
-    ``folders``: group_id, dir, in order of search. ``trash``: dir, name, size. Slots behind those of members moved already
-    are given out in member order again, and name and size must both fit; the first fitting folder wins."""
-    taken = already.select("group_id", F.regexp_replace("moved_to", "/[^/]*$", "").alias("dir"), basename(F.col("path")).alias("base")).groupBy("group_id", "dir", "base").agg(F.count("*").alias("taken"))
-    m = missing.withColumn("base", basename(F.col("path"))).join(folders, "group_id").join(taken, ["group_id", "dir", "base"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
-    # a slot is consumed by a member whose size fits it: candidates are all slots of the name, matched in order
-    files = trash.select("dir", F.col("name").alias("found"), F.col("size").alias("found_size"))
-    first = F.row_number().over(Window.partitionBy("group_id", "dir", "base").orderBy(F.col("size").desc(), "path", "file_id")) - 1
-    m = m.withColumn("slot", first + F.col("taken")).withColumn("found", slot_name(F.col("path"), F.col("slot")))
-    hit = m.join(files, ["dir", "found"]).filter(F.col("size") == F.col("found_size"))
-    return hit.groupBy("group_id", "file_id").agg(F.min(F.concat("dir", F.lit("/"), "found")).alias("moved_to"))
+    """``group_id, file_id, moved_to`` of missing members (group_id, file_id, path, size) found in the trash after a crash.
+
+    ``folders``: group_id, dir. ``trash``: dir, name, size. ``already``: group_id, path, moved_to. The order in which names
+    were given out is replayed per group and name, largest member first: in each folder, taken in the order of their names,
+    the next free slot (behind those of members moved already) must exist with the member's size; only then the member
+    takes it, and the slot counts as used. One name of one group is one task's work. Members with a null size match
+    nothing."""
+    base = basename(F.col("path"))
+    m = missing.select("group_id", "file_id", "path", "size", base.alias("base"), stem(base).alias("stem"), extension(base).alias("ext"))
+    taken = already.filter("moved_to is not null and path is not null").groupBy("group_id", F.regexp_replace("moved_to", "/[^/]*$", "").alias("dir"), base.alias("base")).agg(F.count("*").cast("int").alias("taken"))
+    here = folders.select("group_id", "dir").distinct().join(trash.select("dir", F.col("name").alias("found"), F.col("size").alias("found_size")), "dir")
+    # a file may hold a member of its own name, or of the name without its number
+    bare = F.concat(F.regexp_replace(stem(F.col("found")), r"_[0-9]+\z", ""), extension(F.col("found")))
+    here = here.select("group_id", "dir", F.explode(F.array_distinct(F.array("found", bare))).alias("base"), "found", "found_size", F.lit(-1).alias("taken"))
+    there = here.unionByName(taken.select("group_id", "dir", "base", F.lit(None).cast("string").alias("found"), F.lit(None).cast("bigint").alias("found_size"), "taken"))
+    keys = ["group_id", "base"]
+    return m.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInPandas(_replay, "group_id long, file_id long, moved_to string")
 
 
 def exact_copies(members: DataFrame, contents: DataFrame, kept: DataFrame) -> DataFrame:

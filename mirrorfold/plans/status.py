@@ -40,8 +40,8 @@ def paused(status: DataFrame, value: bool = True) -> DataFrame:
     return _set(status, runner_paused=F.lit(value))
 
 
-def shown(status: DataFrame) -> DataFrame:
-    """``stage, percent, eta`` as the monitor shows them; no time left outside a working stage."""
+def shown(status: DataFrame, *keys: str) -> DataFrame:
+    """``stage, percent, eta`` as the monitor shows them, behind the columns ``keys``; no time left outside a working stage."""
     left = (F.col("total") - F.col("processed")).cast("double")
     working = F.col("stage").isin(*WORKING)
-    return status.select("stage", percent(F.col("processed"), F.col("total")).alias("percent"), F.when(working, eta(left, F.col("files_per_sec"))).alias("eta"))
+    return status.select(*keys, "stage", percent(F.col("processed"), F.col("total")).alias("percent"), F.when(working, eta(left, F.col("files_per_sec"))).alias("eta"))

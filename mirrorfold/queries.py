@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from .functions import hashes, media, names, paths, times
 from .functions.hashes import bucket
-from .functions.media import percent as percent_done
 from .operators import graph, skew
 from .operators.hamming import bucket_links
-from .plans import catalog, jobs, move, overrides, reports
+from .plans import catalog, jobs, move, overrides, reports, status
 from .shared import cut, table
 from .sources import schemas
 from .sources.listing import wanted
@@ -115,12 +114,12 @@ def SC2_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "files").filter("status <> 'moved'").agg(F.count("*").alias("n"))
 
 
-_LISTING = "listing AS (SELECT path, size, mtime FROM files UNION SELECT path, size, mtime FROM incoming)"
+_LISTING = "listing AS (SELECT path, size, CASE WHEN NOT isnan(mtime) THEN mtime END AS mtime FROM files UNION SELECT path, size, CASE WHEN NOT isnan(mtime) THEN mtime END FROM incoming)"
 _KNOWN = f"{_CUR}, known AS (SELECT path, size, mtime FROM cur WHERE status = 'corrupt' OR id IN (SELECT file_id FROM hashes))"
 
 
 def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = ["path", "size", "mtime"]
+    c = ["path", "size", F.nanvl("mtime", F.lit(None)).alias("mtime")]
     return table(spark, sf_dir, "files").select(*c).unionByName(table(spark, sf_dir, "incoming").select(*c)).distinct()
 
 
@@ -548,9 +547,21 @@ def N3_group_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "files").filter("path is not null").select("path").distinct().withColumn("name", names.group_folder(F.col("path"), "_", F.lit("0")))
 
 
-@query()
+_STEM = r"substr({n}, 1, length({n}) - length(regexp_extract({n}, '^\.*[^.].*?(\.[^.]*)$', 1)))"
+
+
+@query("WITH RECURSIVE " + _SAFE.replace("SELECT DISTINCT path FROM files WHERE path IS NOT NULL", "SELECT DISTINCT kept_path AS path FROM groups WHERE kept_path IS NOT NULL").format(name="'_' || regexp_extract(path, '[^/]*$')") + f""", {_GRP},
+want AS (SELECT grp.id, CASE WHEN kept_path IS NULL OR regexp_extract(kept_path, '[^/]*$') = '' THEN 'group_' || grp.id ELSE name END AS name FROM grp LEFT JOIN safe ON safe.path = grp.kept_path),
+low AS (SELECT id, name, lower(nfc_normalize(name)) AS key FROM want),
+fam AS (SELECT *, regexp_replace({_STEM.format(n='key')}, '(__[0-9]+)+$', '') || regexp_extract(key, '^\\.*[^.].*?(\\.[^.]*)$', 1) AS f FROM low),
+o AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY id) AS r FROM fam),
+g AS (SELECT id, f, r, name AS got, [key] AS used FROM o WHERE r = 1 UNION ALL
+  SELECT o.id, o.f, o.r, c.got, list_append(g.used, lower(nfc_normalize(c.got))) FROM g JOIN o ON o.f = g.f AND o.r = g.r + 1,
+  LATERAL (SELECT CASE WHEN NOT list_contains(g.used, o.key) THEN o.name ELSE {_STEM.format(n='o.name')} || '__' ||
+    list_min(list_filter(range(2, 3 + len(g.used)), lambda i: NOT list_contains(g.used, lower(nfc_normalize({_STEM.format(n='o.name')} || '__' || i || regexp_extract(o.name, '^\\.*[^.].*?(\\.[^.]*)$', 1)))))) || regexp_extract(o.name, '^\\.*[^.].*?(\\.[^.]*)$', 1) END AS got) c)
+SELECT id, got AS name FROM g""".replace("\\\\", "\\"))
 def N4_unique_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unique folder of every group (the repair rounds have no plain SQL; a fixture is tested against brute force)."""
+    """Unique folder of every group, given out in the order of the groups."""
     g = _groups(spark, sf_dir).select("id", names.group_folder(F.col("kept_path"), "_", F.col("id").cast("string")).alias("name"))
     return move.unique_names(g, "id", "name")
 
@@ -679,11 +690,23 @@ def M4_flash_and_program(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", media.flash(F.col("user_id")).alias("flash"), media.label(F.col("user_id"), media.EXPOSURE_PROGRAMS).alias("program"))
 
 
-@query("SELECT id, CASE WHEN info.threshold IS NULL THEN run_id::INT ELSE info.threshold END AS threshold, info.min_distance AS min_distance, count(*) AS n FROM groups GROUP BY ALL")
+@query("""WITH m AS (SELECT event_id, json_merge_patch(coalesce(props, '{}')::JSON, json_object('keep_by', event_type, 'k', CASE WHEN user_id % 2 = 0 THEN user_id::VARCHAR ELSE props ->> '$.k' END)) AS j FROM events)
+SELECT event_id, j ->> '$.k' AS k, j ->> '$.keep_by' AS keep_by, len(json_keys(j)) AS n_keys FROM m""")
 def M6_merged_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Information of a group, completed from its run (a later value wins over a missing one)."""
-    g = table(spark, sf_dir, "groups").withColumn("info", F.struct(F.coalesce("info.threshold", F.col("run_id").cast("int")).alias("threshold"), F.col("info.min_distance").alias("min_distance")))
-    return g.groupBy("id", "info.threshold", "info.min_distance").agg(F.count("*").alias("n"))
+    """Properties with two keys set anew; the other keys stay."""
+    k = F.when(F.col("user_id") % 2 == 0, F.col("user_id").cast("string")).otherwise(F.get_json_object("props", "$.k"))
+    e = table(spark, sf_dir, "events").select("event_id", media.merged_json(F.col("props"), {"keep_by": F.col("event_type"), "k": k}).alias("j"))
+    return e.select("event_id", F.get_json_object("j", "$.k").alias("k"), F.get_json_object("j", "$.keep_by").alias("keep_by"), F.size(F.json_object_keys("j")).cast("bigint").alias("n_keys"))
+
+
+@query(r"""WITH e AS (SELECT *, lower(substr(regexp_extract(path, '(\.[^./]*)$', 1), 2)) AS k FROM files)
+SELECT id, concat_ws('; ', 'imageType=' || k || ' (' || upper(k) || ')', 'width=' || width || ' pixels', 'height=' || height || ' pixels', 'error=' || error) AS shown, count(*) AS n FROM e GROUP BY ALL""".replace("\\\\", "\\"))
+def M1_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type, size and, where there is one, the error of every picture as properties."""
+    kind = F.lower(F.substring(F.regexp_extract("path", r"(\.[^./]*)\z", 1), 2, 100))
+    p = media.properties(kind, F.col("width"), F.col("height"), F.lit(None).cast("string"), {"error": F.col("error")})
+    shown = F.array_join(F.transform(F.map_entries(p), lambda x: F.concat(x["key"], F.lit("="), x["value"])), "; ")
+    return table(spark, sf_dir, "files").select("id", shown.alias("shown")).groupBy("id", "shown").agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_id, round(least(100.0::DOUBLE * user_id / nullif(value, 0), 100.0::DOUBLE), 1) AS percent FROM events WHERE value IS NOT NULL")
@@ -811,6 +834,39 @@ def W10_history_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.delete_finished(_jobs(spark, sf_dir)).select("id", "state")
 
 
+def _full_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The jobs with all columns of the queue."""
+    return spark.createDataFrame([], jobs.SCHEMA).unionByName(_jobs(spark, sf_dir), allowMissingColumns=True)
+
+
+@query(f"""WITH {_JOBS}, j AS (SELECT id, command, state, scheduled_at FROM jobs WHERE NOT (command = 'undo' AND state = 'queued'))
+SELECT id, command, state, scheduled_at FROM j UNION ALL SELECT max(id) + 1, 'undo', 'queued', TIMESTAMP '{AS_OF}' FROM j""")
+def W10_enqueued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs after one more was put into the queue, in which none of its kind waits."""
+    j = _full_jobs(spark, sf_dir).filter("not (command = 'undo' and state = 'queued')")
+    return jobs.enqueue(j, "undo", "{}", _as_of(), _as_of()).select("id", "command", "state", "scheduled_at")
+
+
+@query(f"""WITH {_JOBS}, p AS (SELECT min(id) FILTER (state = 'queued') AS q, min(id) FILTER (state = 'running') AS r, max(id) FILTER (state = 'queued') AS c FROM jobs)
+SELECT id, state, CASE WHEN id = q THEN TIMESTAMP '{AS_OF}' ELSE scheduled_at END AS scheduled_at FROM jobs, p WHERE id <> c""")
+def W10_rescheduled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs after the first that waits got another start and the last was cancelled; one that runs takes no new start."""
+    j = _full_jobs(spark, sf_dir)
+    p = j.agg(F.min(F.when(F.col("state") == "queued", F.col("id"))).alias("q"), F.min(F.when(F.col("state") == "running", F.col("id"))).alias("r"), F.max(F.when(F.col("state") == "queued", F.col("id"))).alias("c")).first()
+    j = jobs.reschedule(jobs.reschedule(j, p["q"], _as_of()), p["r"], _as_of())
+    return jobs.cancel(jobs.cancel(j, p["c"]), p["r"]).select("id", "state", "scheduled_at")
+
+
+@query(f"""WITH {_JOBS}, p AS (SELECT min(id) FILTER (state = 'running') AS r FROM jobs)
+SELECT id, CASE WHEN id = r THEN 'failed' ELSE state END AS state, CASE WHEN id = r THEN TIMESTAMP '{AS_OF}' END AS finished_at, CASE WHEN id = r THEN 3 END::INT AS exit_code, CASE WHEN id = r THEN repeat('x', 2000) END AS error FROM jobs, p""")
+def W10_finished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs after the first running one failed; a job that does not run cannot end."""
+    j = _full_jobs(spark, sf_dir)
+    p = j.agg(F.min(F.when(F.col("state") == "running", F.col("id"))).alias("r"), F.min(F.when(F.col("state") == "queued", F.col("id"))).alias("q")).first()
+    j = jobs.finish(j, p["r"], "failed", _as_of(), 3, "x" * 3000)
+    return jobs.finish(j, p["q"], "done", _as_of()).select("id", "state", "finished_at", "exit_code", "error")
+
+
 @query(f"""WITH {_JOBS}, p AS (SELECT id FROM jobs WHERE state = 'queued' AND (scheduled_at IS NULL OR scheduled_at <= TIMESTAMP '{AS_OF}') ORDER BY id LIMIT 1)
 SELECT id, CASE WHEN id IN (SELECT id FROM p) THEN 'running' ELSE state END AS state FROM jobs""")
 def W11_claimed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -888,5 +944,18 @@ def T3_candidate_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def W13_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Progress lines, with groups read as states of stages."""
     g = table(spark, sf_dir, "groups").withColumn("stage", F.when(F.col("confirmed"), "scan").otherwise("idle")).withColumn("total", F.floor(F.col("total_size") / 1_000_000))
-    g = g.withColumn("processed", F.col("member_count").cast("bigint"))
-    return g.groupBy("id", "stage", percent_done(F.col("processed"), F.col("total")).alias("percent")).agg(F.count("*").alias("n"))
+    g = g.withColumn("processed", F.col("member_count").cast("bigint")).withColumn("files_per_sec", F.lit(1.0))
+    shown = status.shown(g, "id")
+    return shown.groupBy("id", "stage", "percent").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'scan' WHEN user_id % 3 = 1 THEN 'idle' ELSE event_type END AS stage, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS processed,
+CASE WHEN user_id % 3 = 0 THEN 50 ELSE 100 END::BIGINT AS total, (user_id % 3 = 2)::INT AS stop_requested, (user_id % 2 = 0)::INT AS runner_paused, CASE WHEN user_id % 3 = 2 THEN ts ELSE TIMESTAMP '{AS_OF}' END AS updated_at FROM events""")
+def W13_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status rows after a stage began (every third), ended (every third) or was asked to stop; the pause stays."""
+    e = table(spark, sf_dir, "events")
+    s = e.select("event_id", "user_id", F.col("event_type").alias("stage"), F.col("user_id").alias("processed"), F.lit(100).cast("bigint").alias("total"), F.lit("x").alias("current_file"), F.lit(1.0).alias("files_per_sec"), F.col("ts").alias("started_at"), F.col("ts").alias("updated_at"), F.lit(1).alias("engine_pid"), F.lit(False).alias("stop_requested"), (F.col("user_id") % 2 == 0).alias("runner_paused"))
+    began = status.started(s.filter("user_id % 3 = 0"), "scan", 50, 7, _as_of())
+    ended = status.idle(s.filter("user_id % 3 = 1"), _as_of())
+    asked = status.stop_requested(s.filter("user_id % 3 = 2"))
+    return began.unionByName(ended).unionByName(asked).select("event_id", "stage", "processed", "total", F.col("stop_requested").cast("int").alias("stop_requested"), F.col("runner_paused").cast("int").alias("runner_paused"), "updated_at")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 HEAVY_ROWS = 100_000
 #: A heavy key also holds at least this share of the rows, so there are at most 1 / share of them.
 HEAVY_SHARE = 1 / 256
+#: Tables written by :func:`cut` that are still there.
+_written: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
+    """Folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs on one
+    machine (tests). On a cluster an unset folder is an error: a machine's own disk is no place for what others read."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="mirrorfold-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -41,11 +46,13 @@ def _delete(spark: SparkSession, path: str) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends, and a lost executor costs nothing.
 
-    The table lives until the process ends, or until :func:`drop_cut`."""
+    The table lives until the process ends, or until :func:`drop_cut` or :func:`drop_all`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/mirrorfold-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
+    if not _written:
+        atexit.register(drop_all, spark)
+    _written.add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._mirrorfold_path = path
     return out
@@ -55,6 +62,15 @@ def drop_cut(df: DataFrame) -> None:
     """Delete a table that :func:`cut` wrote, once nothing reads it any more."""
     if path := getattr(df, "_mirrorfold_path", None):
         _delete(df.sparkSession, path)
+        _written.discard(path)
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Delete all tables :func:`cut` wrote, once no result that rests on them is read any more. A long session calls this
+    between its queries."""
+    for path in list(_written):
+        _delete(spark, path)
+        _written.discard(path)
 
 
 def heavy_keys(counts: DataFrame, keys: Sequence[str], heavy_rows: int = HEAVY_ROWS, share: float = HEAVY_SHARE) -> list:
@@ -67,14 +83,16 @@ def heavy_keys(counts: DataFrame, keys: Sequence[str], heavy_rows: int = HEAVY_R
     return counts.filter(F.col("n") >= least).select(*keys).collect()
 
 
-def lookup(rows: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", heavy_rows: int = HEAVY_ROWS, counts: DataFrame | None = None) -> DataFrame:
+def lookup(rows: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", heavy_rows: int = HEAVY_ROWS, counts: DataFrame | None = None, heavy: list | None = None) -> DataFrame:
     """``rows`` joined (inner, left_semi or left_anti) to ``small``, which is unique by ``keys``.
 
     Heavy keys of ``rows`` never meet in one task: their few ``small`` rows (at most 1 / HEAVY_SHARE, a fixed bound)
     are broadcast, and only the other keys are shuffled. Null keys match nothing. ``counts`` (keys, n): the rows of
-    each key of ``small``, where they are known already; else they are counted, combining map-side."""
+    each key of ``small``, where they are known already; else they are counted, combining map-side. ``heavy``: the heavy
+    keys themselves, where :func:`heavy_keys` gave them before."""
     keys = list(keys)
-    heavy = heavy_keys(rows.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts, keys, heavy_rows)
+    if heavy is None:
+        heavy = heavy_keys(rows.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts, keys, heavy_rows)
     if not heavy:
         return rows.join(small, keys, how)
     top = F.broadcast(rows.sparkSession.createDataFrame(heavy, rows.select(*keys).schema))

@@ -16,11 +16,9 @@ SIDE, BLOCK = 32, 8
 
 
 def dct(n: int = SIDE) -> np.ndarray:
-    """Matrix of the discrete cosine transform (type II, orthonormal)."""
+    """Matrix of the discrete cosine transform (type II, unscaled)."""
     k, x = np.arange(n)[:, None], np.arange(n)[None, :]
-    m = np.cos(np.pi * (2 * x + 1) * k / (2 * n)) * np.sqrt(2 / n)
-    m[0] /= np.sqrt(2)
-    return m
+    return 2 * np.cos(np.pi * (2 * x + 1) * k / (2 * n))
 
 
 def coefficients(gray: np.ndarray) -> np.ndarray:

@@ -38,8 +38,12 @@ class Snapshots:
         out.write(bytearray(version.encode()))
         out.close()
         _, pointer = self._fs(f"{self.folder}/{name}/CURRENT")
-        fs.delete(pointer, False)
-        fs.rename(new, pointer)
+        # replaced in one step: a reader finds the old snapshot or the new one
+        jvm = self.spark._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        overwrite = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(fs.makeQualified(new), fs.makeQualified(pointer), overwrite)
         return self.read(name)
 
     def read(self, name: str) -> DataFrame:

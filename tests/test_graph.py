@@ -1,5 +1,8 @@
 """Components, survivors, ranks, names."""
 
+import itertools
+import os
+import random
 import unicodedata
 
 import pytest
@@ -40,6 +43,17 @@ def test_components(spark):
         graph.components(spark.createDataFrame(chain, "a BIGINT, b BIGINT"), most_rounds=1)
 
 
+def test_components_of_a_mixed_chain_and_a_star(spark):
+    """Rounds grow with the logarithm of a chain whose ids are mixed; a hub is looked up, not gathered."""
+    rng = random.Random(3)
+    ids = list(range(4000))
+    rng.shuffle(ids)
+    star = [(10_000, 10_001 + i) for i in range(3000)]
+    df = spark.createDataFrame(list(zip(ids, ids[1:])) + star, "a BIGINT, b BIGINT")
+    got = {r.vertex: r.component for r in graph.components(df, most_rounds=16, heavy_rows=1000).collect()}
+    assert got == dict.fromkeys(ids, 0) | dict.fromkeys(range(10_000, 13_001), 10_000)
+
+
 def test_ranked(spark):
     g = spark.createDataFrame([(c, (c * 7) % 10) for c in range(50)], "component BIGINT, total_size BIGINT")
     got = [(r.group_id, r.component) for r in graph.ranked(g, 8).orderBy("group_id").collect()]
@@ -76,7 +90,16 @@ def test_unique_names_against_brute_force(spark):
     assert sorted(got) == list(range(len(names)))
     keys = [key(v) for v in got.values()] + [key(u) for u in used]
     assert len(set(keys)) == len(keys)
-    assert got[0] == "IMG.jpg" and got[9].startswith("solo__") and got[4] == "straße" and got[5].startswith("STRASSE__")
+    taken, want = {key(u) for u in used}, {}
+    for k, name in enumerate(names):  # one after the other
+        s, e = os.path.splitext(name)
+        want[k] = next(c for c in itertools.chain([name], (f"{s}__{i}{e}" for i in itertools.count(2))) if key(c) not in taken)
+        taken.add(key(want[k]))
+    assert got == want
+    more = ["a.j", "a.j", "a__2.j", "a.j"]
+    df = spark.createDataFrame(list(enumerate(more)), "k INT, name STRING").withColumn("family", F.lit(1))
+    assert [r.name for r in unique_names(df, "k", "name").orderBy("k").collect()] == ["a.j", "a__2.j", "a__2__2.j", "a__3.j"]
+    assert unique_names(df.limit(0), "k", "name").collect() == []
 
 
 def test_uniform_path():

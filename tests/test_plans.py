@@ -74,6 +74,12 @@ def test_recovery(spark):
     trash = spark.createDataFrame([("/trash/_IMG.jpg", "IMG.jpg", 5), ("/trash/_IMG.jpg", "IMG_1.jpg", 5), ("/trash/_IMG.jpg", "X.jpg", 6)], "dir STRING, name STRING, size BIGINT")
     got = {r.file_id: r.moved_to for r in move.recovered(miss, already, folders, trash).collect()}
     assert got == {2: "/trash/_IMG.jpg/IMG.jpg", 3: "/trash/_IMG.jpg/IMG_1.jpg"}
+    # a file that fits no slot uses none up: the middle one of three is really gone
+    miss = spark.createDataFrame([(10, 2, "/t/IMG.jpg", 9), (10, 3, "/u/IMG.jpg", 7), (10, 4, "/v/IMG.jpg", 5), (10, 5, "/w/IMG.jpg", None)], miss.schema)
+    trash = spark.createDataFrame([("/trash/_IMG.jpg", "IMG.jpg", 9), ("/trash/_IMG.jpg", "IMG_1.jpg", 5)], trash.schema)
+    assert {r.file_id: r.moved_to for r in move.recovered(miss, already, folders, trash).collect()} == {2: "/trash/_IMG.jpg/IMG.jpg", 4: "/trash/_IMG.jpg/IMG_1.jpg"}
+    before = spark.createDataFrame([(10, "/trash/_IMG.jpg/IMG.jpg", "/t/IMG.jpg")], already.schema)
+    assert {r.file_id: r.moved_to for r in move.recovered(miss, before, folders, trash).collect()} == {4: "/trash/_IMG.jpg/IMG_1.jpg"}
 
 
 def test_exact_copies(spark):
