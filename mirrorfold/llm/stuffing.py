@@ -1,15 +1,14 @@
 """Keyword-stuffed and link-list pages.
 
 A text is taken apart into segments (lines, and sentences within lines), and every character is put to the account of
-running language or of strung-together terms. Three things mark the latter:
+running language or of strung-together terms. A page is a case when more than half of its characters are strung together:
 
-* unnaturally regular recurrence: the gaps between a term's occurrences vary little, and the term sequence correlates
-  with itself at some short lag (positional autocorrelation over lag windows);
+* segments of terms that recur with unnatural regularity: the gaps between a term's occurrences hardly vary (natural words come in
+  bursts), and the term stands again within a short lag window nearly wherever it stands (positional autocorrelation);
 * lists of many distinct nouns without function words between them;
 * links, menus, product lines and tags.
 
-The shares of characters and the recurrence figures are the features; a logistic model fitted on reviewed pages weighs
-them. Features are computed for all texts, in whole; only the fit is bounded (``FIT_ROWS``).
+A page is judged by itself, so nothing moves between tasks but the ids of the cases.
 """
 
 from __future__ import annotations
@@ -19,17 +18,18 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import table
 
-#: Labelled pages used for the fit, at most.
-FIT_ROWS = 20_000
-#: Longest lag of the autocorrelation, and terms of one of its windows.
-LAGS, WINDOW = 24, 400
+#: Terms of the lag window: a term recurs if it stands again at most so many terms later.
+LAGS = 24
+#: Recurring terms: occurrences at least, share of them followed by another within the window, and the gaps' deviation by their mean
+#: (1 where words fall at random).
+TIMES, BACK, UNEVEN = 3, 0.6, 1.5
 
 # Words that hold sentences together, in English, German and Russian.
 FUNCTION_WORDS = frozenset(
@@ -58,8 +58,8 @@ BROKEN = re.compile("[Â-ô][\u0080-¿]+")
 LINKED, HOT = 0.4, 0.4
 #: Short lines that follow no record form, from which on they make a list.
 LINES = 5
-KINDS = ("link", "tag", "product", "stuffed", "list", "bare", "prose", "record", "short")
-FEATURES = (*KINDS, "lines", "function", "auto", "regular", "top", "distinct", "separators", "length", "spam", "margin")
+#: Kinds of segments that string terms together; short lines do if there are enough of them.
+STRUNG = ("link", "tag", "product", "stuffed", "list", "bare", "lines")
 
 
 def clean(text: str) -> str:
@@ -77,35 +77,27 @@ def clean(text: str) -> str:
     return SPACED.sub(lambda m: m.group().replace(" ", ""), text)
 
 
-def recurrence(words: list[str]) -> tuple[float, float]:
-    """(largest autocorrelation, regularity of gaps) of a term sequence, averaged over windows by their terms.
-
-    Autocorrelation at a lag is the share of positions whose term stands there again ``lag`` later. Regularity is the
-    share of terms that recur at least three times with gaps varying by less than half their mean."""
-    auto = reg = total = 0.0
-    for s in range(0, len(words), WINDOW):
-        w = words[s : s + WINDOW]
-        if len(w) < 8:
-            continue
-        ids = np.unique(np.array(w), return_inverse=True)[1]
-        n = len(w)
-        best = max(np.count_nonzero(ids[:-lag] == ids[lag:]) / (n - lag) for lag in range(1, min(LAGS, n // 2) + 1))
-        order = np.argsort(ids, kind="stable")
-        gap, same = np.diff(order), np.diff(ids[order]) == 0
-        n = np.bincount(ids[order][1:][same], minlength=ids.max() + 1)
-        g = gap[same].astype(float)
-        k = ids[order][1:][same]
-        mean = np.bincount(k, g, minlength=len(n)) / np.maximum(n, 1)
-        var = np.bincount(k, g * g, minlength=len(n)) / np.maximum(n, 1) - mean**2
-        regular = (n >= 2) & (np.sqrt(np.maximum(var, 0)) < 0.5 * mean)
-        auto += best * len(w)
-        reg += float((n[regular] + 1).sum())
-        total += len(w)
-    return (auto / total, reg / total) if total else (0.0, 0.0)
-
-
-def _kind(seg: str, n: int, hot: set[str]) -> tuple[str, int]:
-    """Kind of a segment of n visible characters, and the number of its listed items."""
+def recurring(terms: list[str]) -> set[str]:
+    """Terms that recur with unnatural regularity in a sequence of terms: at least ``TIMES``, a share ``BACK`` of the
+    occurrences followed by the next within ``LAGS`` terms, and gaps that deviate by at most ``UNEVEN`` of their mean."""
+    counts = Counter(terms)
+    at: dict[str, list[int]] = {t: [] for t, n in counts.items() if n >= TIMES}
+    if not at:
+        return set()
+    for i, t in enumerate(terms):
+        if t in at:
+            at[t].append(i)
+    out = set()
+    for t, places in at.items():
+        gaps = [b - a for a, b in zip(places, places[1:])]
+        n, mean = len(gaps), (places[-1] - places[0]) / len(gaps)
+        if mean <= LAGS and sum(g <= LAGS for g in gaps) >= BACK * n and sum(g * g for g in gaps) / n - mean * mean <= (UNEVEN * mean) ** 2:
+            out.add(t)
+    return out
+
+
+def _kind(seg: str, n: int, hot: set[str]) -> str:
+    """Kind of a segment of n visible characters."""
     linked = tagged = 0
     rest = seg
     if "." in seg[:-2] or "(" in seg or "[" in seg or "<" in seg:
@@ -127,125 +119,79 @@ def _kind(seg: str, n: int, hot: set[str]) -> tuple[str, int]:
     k = max(1, len(words))
     fun = sum(map(FUNCTION_WORDS.__contains__, words))
     if linked + tagged > LINKED * n and fun <= 0.2 * k:
-        return ("link" if linked >= tagged else "tag"), 0
+        return "link" if linked >= tagged else "tag"
     if RECORD.match(seg):
-        return "record", 0
+        return "record"
     if rated and fun <= 0.25 * k:
-        return "product", 0
+        return "product"
     terms = len(words) - fun
     again = list(filter(hot.__contains__, words))
     if terms >= 2 and len(again) >= HOT * terms and (fun <= 0.12 * k or len(again) >= 2 * len(set(again))):
-        return "stuffed", 0
+        return "stuffed"
     if fun > 0.2 * k and len(words) >= 4:
-        return "prose", 0
+        return "prose"
     items = len(SEPARATORS.split(rest))
     if items >= 4 and len(words) <= 4 * items and fun <= (0.06 if items < 6 else 0.2) * k:
-        return "list", items - 1
+        return "list"
     if fun >= 0.12 * k and len(words) >= 4:
-        return "prose", items - 1
+        return "prose"
     if len(words) >= 6 and fun <= 0.05 * k:
-        return "bare", items - 1
+        return "bare"
     if len(words) >= 3 and seg.rstrip()[-1:] in ".!?…":
-        return "prose", items - 1
-    return "short", items - 1
+        return "prose"
+    return "short"
 
 
-def features(text: str | None) -> list[float]:
-    """The figures named in FEATURES; a text without visible characters has zeros."""
+def kinds(text: str | None) -> dict[str, float]:
+    """Share of the visible characters by kind of segment; nothing for a text without any. Short lines are ``lines`` where
+    there are enough of them."""
     t = clean(text or "")
     segments = [(s, len("".join(s.split()))) for line in t.split("\n") for s in SENTENCE.split(line) if s and not s.isspace()]
     visible = sum(n for _, n in segments)
     if not visible:
-        return [0.0] * len(FEATURES)
+        return {}
     words = WORD.findall((MARKUP.sub(" ", t) if "<" in t or "&" in t else t).casefold())
-    content = [w for w in words if w not in FUNCTION_WORDS]
-    counts = Counter(content)
-    least = max(3, 0.04 * len(content))
-    hot = {w for w, c in counts.items() if c >= least}
-    acc = dict.fromkeys(KINDS, 0)
-    separators = lines = 0
+    hot = recurring([w for w in words if w not in FUNCTION_WORDS])
+    acc: Counter[str] = Counter()
+    lines = 0
     for s, n in segments:
-        kind, items = _kind(s, n, hot)
+        kind = _kind(s, n, hot)
         acc[kind] += n
-        separators += items
         lines += kind == "short"
-    out = {k: v / visible for k, v in acc.items()}
-    out["lines"] = out["short"] if lines >= LINES else 0.0
-    k = max(1, len(words))
-    out["function"] = 1 - len(content) / k
-    out["auto"], out["regular"] = recurrence(content)
-    out["top"] = max(counts.values()) / k if counts else 0.0
-    out["distinct"] = len(counts) / max(1, len(content))
-    out["separators"] = min(1.0, separators / k)
-    out["length"] = min(1.0, float(np.log1p(visible)) / 10)
-    out["spam"] = out["link"] + out["tag"] + out["product"] + out["stuffed"] + out["list"] + out["bare"] + out["lines"]
-    out["margin"] = float(np.tanh(6 * (out["spam"] - 0.5)))
-    return [out[f] for f in FEATURES]
-
-
-def prior(x: np.ndarray) -> np.ndarray:
-    """Log odds of the plain rule: more than half of the characters."""
-    return 10.0 * (x[:, FEATURES.index("spam")] - 0.5)
-
-
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 100.0, steps: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, scale, weights with the intercept last) of a logistic model on top of the plain rule, by Newton's method;
-    the ridge penalty holds the weights near zero, so few reviewed pages move the rule little, and none not at all."""
-    if not len(x):
-        return np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(len(FEATURES) + 1)
-    mean, scale, base = x.mean(0), np.maximum(x.std(0), 1e-6), prior(x)
-    z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
-    w, penalty = np.zeros(z.shape[1]), ridge * np.eye(z.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(base + z @ w, -30, 30)))
-        w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + penalty, z.T @ (p - y) + penalty @ w)
-    return mean, scale, w
-
-
-def score(x: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """Probability of a case; 0 for a text without visible characters."""
-    mean, scale, w = model
-    p = 1 / (1 + np.exp(-np.clip(prior(x) + ((x - mean) / scale) @ w[:-1] + w[-1], -30, 30)))
-    return np.where(x[:, FEATURES.index("length")] == 0, 0.0, p)
+    if lines >= LINES:
+        acc["lines"] = acc.pop("short")
+    return {k: n / visible for k, n in acc.items()}
+
+
+def share(text: str | None) -> float:
+    """Share of the visible characters in strung-together segments; 0 for a text without any."""
+    k = kinds(text)
+    return sum(k.get(x, 0.0) for x in STRUNG)
 
 
 def judged(labels: DataFrame) -> DataFrame:
-    """``doc_id, y`` (1 spam, 0 ok) of reviewed pages: labels in any spelling, repeated rows once, pages with other,
-    missing or contradicting labels left out."""
+    """``doc_id, y`` (1 spam, 0 ok) of reviewed pages, for tests: labels in any spelling, repeated rows once, pages with
+    other, missing or contradicting labels left out."""
     y = F.lower(F.trim("label"))
     known = labels.select("doc_id", F.when(y == "spam", 1.0).when(y == "ok", 0.0).alias("y")).filter("doc_id is not null and y is not null")
     return known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).filter("y = most").select("doc_id", "y")
 
 
-def stuffed_pages(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """``doc_id, score`` of the pages that are mostly keywords, links, menus or tags (score above 0.5).
-
-    ``docs``: doc_id, text; ``labels``: doc_id, label. Null, empty and blank texts are never cases; rows of any length
-    count in whole; extra columns are ignored. The model is fitted on ``fit_rows`` reviewed pages at most, those with
-    the least hash of their id; without reviewed pages more than half of the characters decide."""
-    schema = "doc_id long, y double, x array<double>"
-
-    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([features(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+def stuffed_pages(docs: DataFrame) -> DataFrame:
+    """``doc_id, share`` of the pages that are mostly keywords, links, menus or tags (share above 0.5).
 
-    known = judged(labels).orderBy(F.xxhash64("doc_id")).limit(fit_rows)
-    # ``fit_rows`` rows of two numbers at most, so they are broadcast and no text moves
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "y").mapInArrow(described, schema).collect()
-    x, y = np.array([r["x"] for r in sample]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in sample])
-    order = np.argsort([r["doc_id"] for r in sample])  # the fit does not depend on the order of arrival
-    model = fit(x[order], y[order])
+    ``docs``: doc_id, text. Null, empty and blank texts are never cases; rows of any length count in whole; extra columns
+    are ignored; an empty table gives no rows."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = np.array([features(t) for t in b.column(1).to_pylist()]).reshape(-1, len(FEATURES))
-            p = score(f, model)
-            m = np.flatnonzero(p > 0.5)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(m)), pa.array(p[m])], ["doc_id", "score"])
+            p = pa.array([share(t) for t in b.column(1).to_pylist()], pa.float64())
+            m = pa.compute.greater(p, 0.5)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(m), p.filter(m)], ["doc_id", "share"])
 
-    return docs.select("doc_id", "text").mapInArrow(scored, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(scored, "doc_id long, share double")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of more than half repeated or strung-together keywords, links, menus or tags."""
-    return stuffed_pages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "page_labels")).select("doc_id")
+    return stuffed_pages(table(spark, sf_dir, "documents")).select("doc_id")

@@ -432,11 +432,9 @@ FINE = [PROSE, "Frame 3, tiny", "1. Frame 3, tiny\n2. untitled (1999)\n3. In the
 
 def test_pages_by_the_plain_rule(spark):
     rows = [(i, t) for i, t in enumerate(SPAM + FINE)]
-    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").withColumn("y", F.lit(1)).withColumn("x", F.lit(1)).withColumn("label", F.lit(""))
-    labels = spark.createDataFrame([], "doc_id BIGINT, label STRING")
-    got = {r.doc_id for r in stuffing.stuffed_pages(df, labels).collect()}
-    assert got == set(range(len(SPAM)))
-    assert stuffing.stuffed_pages(df.limit(0), labels).collect() == []
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").withColumn("share", F.lit(1)).withColumn("label", F.lit(""))
+    assert {r.doc_id for r in stuffing.stuffed_pages(df).collect()} == set(range(len(SPAM)))
+    assert stuffing.stuffed_pages(df.limit(0)).collect() == []
 
 
 def test_labels(spark):
@@ -446,17 +444,27 @@ def test_labels(spark):
 
 
 def test_recurrence_and_long_texts():
-    assert stuffing.recurrence(["a", "b", "c"] * 50)[0] > 0.9 and stuffing.recurrence([str(i) for i in range(99)]) == (0.0, 0.0)
-    assert len(stuffing.features("word " * 100_000)) == len(stuffing.FEATURES)
+    assert stuffing.recurring(["a", "b", "c"] * 50) == {"a", "b", "c"} and stuffing.recurring([str(i) for i in range(99)]) == set()
+    burst = ["x"] * 4 + [str(i) for i in range(400)] + ["x"] * 4  # often, but in bursts
+    assert stuffing.recurring(burst) == set()
+    assert stuffing.recurring([str(i) if i % 60 else "far" for i in range(900)]) == set()
+    assert stuffing.share("word " * 100_000) == 1.0 and stuffing.share(PROSE * 2_000) == 0.0
 
 
-def test_held_out_accuracy(spark):
-    """Agreement with reviewed pages the model was not fitted on; a few of the judgements are wrong."""
+def test_agreement_with_reviewed_pages_and_what_recurrence_decides(spark, monkeypatch):
+    """sf0.1: nothing is fitted on the labels, of which a good part is wrong, mostly prose called spam; so precision is the
+    telling figure, and the majority guess (0.89) the one to beat. Then without recurrence: stuffed pages are lost."""
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/page_labels.parquet")
-    known = stuffing.judged(labels)
-    test = known.filter(F.xxhash64("doc_id") % 2 == 0)
-    fit = known.join(test, "doc_id", "left_anti").withColumn("label", F.when(F.col("y") > 0, "spam").otherwise("ok"))
-    found = {r.doc_id for r in stuffing.stuffed_pages(docs.join(test, "doc_id", "left_semi"), fit).collect()}
-    rows = test.collect()
-    assert sum((r.doc_id in found) == (r.y > 0) for r in rows) >= 0.9 * len(rows)
+    rows = stuffing.judged(labels).join(docs, "doc_id").select("text", "y").collect()
+    said = [stuffing.share(r.text) > 0.5 for r in rows]
+    both = sum(s and r.y > 0 for s, r in zip(said, rows))
+    print("precision", both / sum(said), "recall", both / sum(r.y > 0 for r in rows))
+    assert both >= 0.9 * sum(said) and both >= 0.5 * sum(r.y > 0 for r in rows)
+    assert sum(s == (r.y > 0) for s, r in zip(said, rows)) >= 0.94 * len(rows)
+    texts = [r.text for r in docs.select("text").collect()]
+    stuffed = [t for t in texts if stuffing.share(t) > 0.5 and stuffing.kinds(t).get("stuffed", 0) > 0.25]
+    monkeypatch.setattr(stuffing, "recurring", lambda terms: set())
+    lost = sum(stuffing.share(t) <= 0.5 for t in stuffed)
+    print("stuffed pages", len(stuffed), "lost without recurrence", lost)
+    assert lost >= 0.1 * len(stuffed) > 10
