@@ -4,24 +4,27 @@ Fields that belong together are a bundle and are only taken together. Functional
 name determines its camera") tie bundles: the values chosen for both ends must occur in one record. Among all consistent
 choices the one with the greatest trust wins, trusts being compared bundle after bundle.
 
-The bound of a partial choice is the sum of what is chosen and each open bundle's best value. Bundles tied to one that
-determines them all cannot be mixed, so the best record's values meet the bound at once: a MIN per group, combined
-map-side, however crowded the group. Only for other ties branches have to be searched; their values are first
-compressed to distinct ones and pruned by the bound of the best single record.
+The bound of a partial choice is the sum of what is chosen and each open bundle's best value. The best single record of
+a group is consistent, so it is the first solution; it is found by a MIN that combines map-side. Values whose own bound exceeds
+it are pruned before any group is gathered, and a bundle that determines the others brings its record's whole cost as its
+bound. What is left is compressed to distinct values and searched by branch and bound, many groups to a batch; where the
+first solution meets the bound the search ends at its root.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.names import copy_marks
-from ..shared import table
+from ..shared import cut, lookup, table
 
 #: Modification times after this are implausible (2026-01-01).
 LATEST = 1_767_225_600
@@ -61,12 +64,14 @@ def _parts(bundles: Sequence[Bundle], determines: Sequence[tuple[str, str]]) ->
     return out
 
 
-def _search(rows: list[tuple], m: int, ties: list[tuple[int, int]]) -> tuple | None:
+def _search(rows: list[tuple], m: int, ties: list[tuple[int, int]]) -> tuple:
     """Least consistent choice by branch and bound. rows: per bundle (cost, value), both comparable tuples."""
+    best = min(rows)
+    if len(rows) == 1:
+        return best
     seen = {t: {(r[t[0]][1], r[t[1]][1]) for r in rows} for t in ties}
     options = [sorted({r[i] for r in rows}) for i in range(m)]
     best_open = [o[0][0] for o in options]
-    best: tuple | None = min(rows)
     bound = tuple(x[0] for x in best)
     stack: list[tuple] = [()]
     while stack:
@@ -86,16 +91,33 @@ def _search(rows: list[tuple], m: int, ties: list[tuple[int, int]]) -> tuple | N
     return best
 
 
-def _solver(m: int, ties: list[tuple[int, int]], names: list[str]):  # noqa: ANN202
+def _solver(m: int, ties: list[tuple[int, int]], schema: pa.Schema):  # noqa: ANN202
     def comparable(d: dict) -> tuple:
         v = list(d.values())
         return tuple((bool(v[k]), 0 if v[k] else v[k + 1]) for k in range(0, len(v), 2))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [tuple((comparable(r[1 + i]), comparable(r[1 + m + i])) for i in range(m)) for r in pdf.itertuples(index=False, name=None)]
-        best = _search(rows, m, ties)
-        flat = [None if null else x for i in range(m) for null, x in best[i][1]]
-        return pd.DataFrame([[pdf.iloc[0, 0], *flat]], columns=names, dtype=object)
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group; a group may go on in the next batch."""
+        group, rows, out = None, [], []
+
+        def close() -> None:
+            if rows:
+                best = _search(rows, m, ties)
+                out.append((group, *(None if null else x for i in range(m) for null, x in best[i][1])))
+
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in range(b.num_columns)]
+            for g, *r in zip(*cols):
+                if g != group:
+                    close()
+                    group, rows = g, []
+                rows.append(tuple((comparable(r[i]), comparable(r[m + i])) for i in range(m)))
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                out = []
+        close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return solve
 
@@ -106,32 +128,28 @@ def best_bundles(records: DataFrame, group: str, bundles: Sequence[Bundle], dete
     ``determines``: pairs of bundles, (a, b) meaning that a value of a fixes that of b, so that the chosen values of
     both must occur in one record. The first bundle's trust counts most; costs sort nulls last; equal costs fall to
     the least values (nulls last). Records with a null group are ignored, repeated records change nothing, extra columns
-    are ignored; an empty table gives no rows."""
+    are ignored; an empty table gives no rows. What pruning leaves of one group is searched by one task."""
     rows = records.filter(F.col(group).isNotNull())
-    out = None
+    types, out = {f.name: f.dataType for f in records.schema}, None
     for own, whole in _parts(bundles, determines):
+        m = len(own)
         cost = [F.struct(*[x for j, c in enumerate(b.cost) for x in (c.isNull().alias(f"n{j}"), c.alias(f"v{j}"))]).alias(f"c{i}") for i, b in enumerate(own)]
         value = [F.struct(*[x for f in b.fields for x in (F.col(f).isNull().alias(f"n_{f}"), F.col(f).alias(f))]).alias(f"v{i}") for i, b in enumerate(own)]
-        if whole:
-            picked = rows.groupBy(group).agg(F.min(F.struct(*cost, *value)).alias("m"))
-            one = picked.select(group, *[F.col(f"m.v{i}.{f}").alias(f) for i, b in enumerate(own) for f in b.fields])
-        else:
-            flat = rows.select(group, *cost, *value).distinct()
-            least = flat.groupBy(group).agg(F.min(F.struct(*[F.col(f"c{i}") for i in range(len(own))])).alias("best"), *[F.min(f"c{i}").alias(f"l{i}") for i in range(len(own))])
-            joined = flat.join(least, group)
-            # a record may only add values whose bound does not exceed the best record's cost; one such value keeps it
-            keep = []
-            for i in range(len(own)):
-                bound = F.struct(*[F.col(f"c{j}" if j == i else f"l{j}").alias(f"c{j}") for j in range(len(own))])
-                keep.append(bound <= F.col("best"))
-            pruned = joined.filter(reduce(Column.__or__, keep)).select(group, *[f"c{i}" for i in range(len(own))], *[f"v{i}" for i in range(len(own))])
-            index = {b.name: i for i, b in enumerate(own)}
-            ties = [(index[a], index[b]) for a, b in determines if a in index]
-            fields = [f for b in own for f in b.fields]
-            types = dict(records.dtypes)
-            schema = ", ".join(f"`{f}` {types[f]}" for f in [group, *fields])
-
-            one = pruned.groupBy(group).applyInPandas(_solver(len(own), ties, [group, *fields]), schema)
+        flat = rows.select(group, *cost, *value)
+        costs = [F.col(f"c{i}") for i in range(m)]
+        least = flat.groupBy(group).agg(F.min(F.struct(*costs)).alias("best"), *[F.min(f"c{i}").alias(f"l{i}") for i in range(m)], F.count("*").alias("n"))
+        least = cut(least)  # one row a group
+        joined = lookup(flat, least.drop("n"), [group], counts=least.select(group, "n"))
+        if whole:  # a value of the determining bundle brings its record: its bound is the record's cost
+            keep = F.struct(*costs) <= F.col("best")
+        else:  # a record may only add values whose bound does not exceed the best record's cost; one such value keeps it
+            bounds = [F.struct(*[F.col(f"c{j}" if j == i else f"l{j}").alias(f"c{j}") for j in range(m)]) for i in range(m)]
+            keep = reduce(Column.__or__, [b <= F.col("best") for b in bounds])
+        pruned = joined.filter(keep).select(group, *costs, *[f"v{i}" for i in range(m)]).distinct()
+        index = {b.name: i for i, b in enumerate(own)}
+        ties = [(index[a], index[b]) for a, b in determines if a in index]
+        schema = StructType([StructField(f, types[f]) for f in [group, *(f for b in own for f in b.fields)]])
+        one = pruned.repartition(group).sortWithinPartitions(group).mapInArrow(_solver(m, ties, to_arrow_schema(schema)), schema)
         out = one if out is None else out.join(one, group)
     return out
 
@@ -152,7 +170,8 @@ def candidates(members: DataFrame, groups: DataFrame, runs: DataFrame, files: Da
     # repeated rows of a group or run are equal in what is used here
     run = runs.groupBy(F.col("id").alias("run_id")).agg(F.min("params.keep_by").alias("keep_by"))
     rule = groups.groupBy(F.col("id").alias("group_id")).agg(F.min("run_id").alias("run_id")).join(run, "run_id", "left").select("group_id", "keep_by")
-    return m.join(now, "file_id").join(rule, "group_id", "left").withColumn("keep_by", F.coalesce("keep_by", F.lit("size")))
+    # a group may hold a large part of all members
+    return lookup(m.join(now, "file_id"), rule, ["group_id"], "left").withColumn("keep_by", F.coalesce("keep_by", F.lit("size")))
 
 
 def survivor_bundle(name: str = "file") -> list[Bundle]:
