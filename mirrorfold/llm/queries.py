@@ -5,7 +5,7 @@ from __future__ import annotations
 from .components import p5_found
 from .history import p4_found
 from .nearest import p1_found
-from .packing import p7_containers
+from .packing import p7_bounds, p7_containers
 from .representative import p3_found, p3_records
 from .stuffing import p8_found
 from .tokens import p6_ids
@@ -18,6 +18,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
+    "p7_bounds": p7_bounds,
     "p8_found": p8_found,
 }
 

@@ -2,15 +2,16 @@
 
 A text longer than ``chunk`` characters is cut into chunks that overlap their neighbours on both sides. Every chunk is
 handled by some task on its own and finds the same stitches as its neighbours: the first place at or behind its nominal
-start (and end) where a white-space character follows another character. There a pre-token ends whatever came before,
-so the pre-tokens of both chunks agree from there on. The piece between two stitches is encoded, and a text's pieces are
-joined in order. A text in which some overlap has no stitch is encoded in one piece instead: the result is always that
-of encoding the whole text. Decoding concatenates the tokens' raw bytes.
+start (and end) at which a pre-token ends whatever came before, so that the pre-tokens of both chunks agree from there on. The
+piece between two stitches is encoded, and a text's pieces are joined in order. Chunks with no stitch in an overlap are
+joined to their neighbour there, and encoded together from the last stitch to the next: the result is always that of
+encoding the whole text. Decoding concatenates the tokens' raw bytes.
 """
 
 from __future__ import annotations
 
 import base64
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,8 @@ from ..shared import cut, table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-token pattern that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CHUNK = 32_768
-OVERLAP = 1_024
+CHUNK = 4_096
+OVERLAP = 256
 
 
 def _encoder(vocabulary: Broadcast):  # noqa: ANN202
@@ -47,10 +48,26 @@ def load(spark: SparkSession, path: str = VOCABULARY) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
+def _kind(c: str) -> str:
+    """Class of a character in the pattern: letter, number, space or other; '' for one that is no safe neighbour of a stitch,
+    as tables of Unicode differ in it or in what counts as white space."""
+    n = ord(c)
+    if n < 0x530 or 0x3000 <= n < 0x3040 or 0x4E00 <= n < 0x9FA6 or 0xFF00 < n < 0xFF5F:
+        if n in (10, 32):
+            return "S"
+        if n < 32 or 0x7F <= n <= 0xA0 or n == 0x3000:
+            return ""
+        k = unicodedata.category(c)[0]
+        return k if k in "LN" else "" if k == "C" else "O"
+    return ""
+
+
 def stitch(text: str, at: int) -> int | None:
-    """First position p >= at with a space or line feed at p and no white space before it, None if there is none."""
+    """First position p >= at that begins a pre-token whatever stands before p - 1, None if there is none: the class changes
+    there, but not behind a space, which may belong to what follows, nor from an apostrophe to a letter."""
     for p in range(max(1, at), len(text)):
-        if text[p] in " \n" and not text[p - 1].isspace():
+        a, b = _kind(text[p - 1]), _kind(text[p])
+        if a and b and a != b and a != "S" and not (text[p - 1] == "'" and b == "L"):
             return p
     return None
 
@@ -75,30 +92,52 @@ def _encode(docs: DataFrame, vocabulary: Broadcast, counts: bool, chunk: int, ov
                 yield pa.RecordBatch.from_arrays([part.column(0), column([enc.encode_ordinary(t) if t else [] for t in part.column(1).to_pylist()])], ["doc_id", "value"])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Encoded chunks with the stitches at both ends, -1 where there is none (then without ids)."""
         enc = _encoder(vocabulary)
         for b in batches:
-            ids, good = [], []
+            ids, ends = [], ([], [])
             for text, k, last in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()):
-                left = 0 if k == 0 else stitch(text[: 2 * overlap], overlap)
                 base = 0 if k == 0 else overlap
+                left = 0 if k == 0 else stitch(text[: 2 * overlap], overlap)
                 right = len(text) if k == last else stitch(text[: base + chunk + overlap], base + chunk)
-                ok = left is not None and right is not None
-                good.append(ok)
-                ids.append(enc.encode_ordinary(text[left:right]) if ok else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(good), column(ids)], ["doc_id", "k", "ok", "value"])
+                ids.append([] if left is None or right is None else enc.encode_ordinary(text[left:right]))
+                for to, p in zip(ends, (left, right)):
+                    to.append(-1 if p is None else k * chunk - base + p)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ends[0], pa.int32()), pa.array(ends[1], pa.int32()), column(ids)], ["doc_id", "k", "left", "right", "value"])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From the last stitch before chunks that lack one to the next behind them."""
+        for b in batches:
+            out = []
+            for doc, chunks in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for c in chunks:  # in order; a run begins at a chunk with a stitch on the left, and ends at one on the right
+                    if c["left"] >= 0:
+                        first, begin = c["k"], c["left"]
+                    if c["right"] >= 0:
+                        out.append((doc, first, begin, c["right"]))
+            cols = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "k", "begin", "end"])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = _encoder(vocabulary)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), column([enc.encode_ordinary(t) for t in b.column(2).to_pylist()])], ["doc_id", "k", "value"])
 
     short = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= chunk).select("doc_id", "text").mapInArrow(whole, f"doc_id long, value {value}")
-    long = docs.filter(F.length("text") > chunk).select("doc_id", "text", F.ceil(F.length("text") / chunk).cast("int").alias("n"))
-    k = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")
-    start = F.greatest(F.col("k") * chunk - overlap, F.lit(0)).cast("int")
-    size = F.when(F.col("k") == 0, chunk + overlap).otherwise(chunk + 2 * overlap)
-    chunks = long.select("doc_id", "text", "n", k).select("doc_id", "k", F.substring("text", start + 1, size).alias("text"), (F.col("n") - 1).alias("last"))
-    done = cut(chunks.repartition("doc_id", "k").mapInArrow(pieces, f"doc_id long, k int, ok boolean, value {value}"))
-    bad = done.filter("not ok").select("doc_id").distinct()
-    again = long.join(bad, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(whole, f"doc_id long, value {value}")
+    long = docs.filter(F.length("text") > chunk).select("doc_id", "text")
+    n = F.ceil(F.length("text") / chunk).cast("int")
+    # cut before the rows multiply, so that what is copied stays near the length of the text
+    start = lambda k: F.greatest(k * chunk - overlap, F.lit(0)).cast("int")
+    size = lambda k: F.when(k == 0, chunk + overlap).otherwise(chunk + 2 * overlap)
+    cuts = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(F.col("text"), start(k) + 1, size(k)))
+    chunks = long.select("doc_id", (n - 1).alias("last"), F.posexplode(cuts).alias("k", "text")).select("doc_id", "k", "text", "last")
+    done = cut(chunks.repartition("doc_id", "k").mapInArrow(pieces, f"doc_id long, k int, left int, right int, value {value}"))
+    bad = done.filter("left < 0 or right < 0").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "left", "right"))).alias("chunks"))
+    again = bad.mapInArrow(runs, "doc_id long, k int, begin int, end int").join(long, "doc_id")
+    again = again.select("doc_id", "k", F.substring("text", F.col("begin") + 1, F.col("end") - F.col("begin")).alias("text")).mapInArrow(together, f"doc_id long, k int, value {value}")
     join = F.sum("value").cast("int") if counts else F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda s: s["value"]))
-    stitched = done.join(bad, "doc_id", "left_anti").groupBy("doc_id").agg(join.alias("value"))
-    return short.unionByName(stitched).unionByName(again)
+    stitched = done.filter("left >= 0 and right >= 0").select("doc_id", "k", "value").unionByName(again).groupBy("doc_id").agg(join.alias("value"))
+    return short.unionByName(stitched)
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
