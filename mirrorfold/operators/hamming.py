@@ -181,8 +181,9 @@ def bucket_links(hashes: DataFrame, radius: int = 4, hex_chars: int = 4, crowded
     (distance 0). Without, only links that join parts not linked yet are returned from each run, enough for components
     and fewer than the run's hashes.
 
-    Buckets of more than ``crowded`` hashes (their number is bounded by 16 ** hex_chars, whatever the data) are split
-    by the blocking scheme; the others are one run. The list of crowded buckets is broadcast to the tasks."""
+    Buckets of more than ``crowded`` hashes are split by the blocking scheme; the others are one run. The list of crowded
+    buckets is sent to the tasks: 65,536 at most, by their number up to four hex digits, and beyond that because only
+    buckets of at least 1/65,536 of the hashes count as crowded then."""
     spark = hashes.sparkSession
     from ..shared import cut, lookup  # noqa: PLC0415
 
@@ -190,6 +191,8 @@ def bucket_links(hashes: DataFrame, radius: int = 4, hex_chars: int = 4, crowded
     ent = cut(rows.groupBy("phash").agg(F.min("file_id").alias("rep"), F.max("file_id").alias("last"), F.count("*").alias("n")))
     by_bucket = ent.groupBy(F.substring("phash", 1, (hex_chars + 1) // 2).alias("b")).count()
     total = ent.count()
+    if hex_chars > 4:
+        crowded = max(crowded, total // 65_536)
     heavy = {}
     for b, n in by_bucket.filter(F.col("count") > crowded).collect():
         k = int.from_bytes(bytes(b), "big") >> (4 * (hex_chars % 2))

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from ..shared import cut, lookup
 
 
-def compress(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """One row per (keys, value) with its weight ``n``. Null values are kept as a value of their own; an empty table
-    gives no row."""
-    return df.groupBy(*keys, value).agg(F.count("*").alias("n"))
+def compress(df: DataFrame, keys: Sequence[str], value: str, *more: Column) -> DataFrame:
+    """One row per (keys, value) with its weight ``n``, and what else is wanted of each. Null values are kept as a value of
+    their own; an empty table gives no row."""
+    return df.groupBy(*keys, value).agg(F.count("*").alias("n"), *more)
 
 
 def key_statistics(df: DataFrame, keys: Sequence[str], value: str, salts: int = 64) -> DataFrame:
@@ -53,19 +53,22 @@ def key_percentiles(df: DataFrame, keys: Sequence[str], value: str, fractions: S
     return cum.groupBy(*keys).agg(*[F.min(F.when(F.col("__c") >= F.col("total") * F.lit(float(f)), F.col("__v"))).alias(f"p_{i}") for i, f in enumerate(fractions)])
 
 
-def shared_values(df: DataFrame, value: str, holder: str) -> DataFrame:
-    """Values (never null) held by more than one ``holder``: value, ``first`` and ``last`` holder, weight ``n``.
+def shared_values(df: DataFrame, keys: Sequence[str], value: str, holder: str) -> DataFrame:
+    """Weighted values (never null) of each key held by more than one ``holder``: keys, value, weight ``n``, ``first`` and
+    ``last`` holder.
 
-    Two aggregates instead of a count of distinct holders: constant state per value, combined map-side."""
-    g = df.filter(F.col(value).isNotNull() & F.col(holder).isNotNull()).groupBy(value)
-    return g.agg(F.min(holder).alias("first"), F.max(holder).alias("last"), F.count("*").alias("n")).filter(F.col("first") != F.col("last"))
+    First and last holder instead of a count of distinct ones: constant state per value, combined map-side."""
+    rows = df.filter(F.col(value).isNotNull() & F.col(holder).isNotNull())
+    return compress(rows, keys, value, F.min(holder).alias("first"), F.max(holder).alias("last")).filter(F.col("first") != F.col("last"))
 
 
 def holders_of_shared_values(df: DataFrame, key: Column, value: str, holder: str, key_name: str) -> DataFrame:
-    """Distinct (``key_name``, holder) whose value another holder has too. ``key`` must be a function of the value, so
-    that sharing is decided per value and the crowded keys never gather. Rows with a null value or holder give
-    nothing; repeated rows count once; extra columns are ignored."""
+    """Distinct (``key_name``, holder) whose value another holder of the key has too. ``key`` must be a function of the value:
+    a crowded key then comes apart by its weighted values, which decide, and is never gathered; a value that itself holds
+    many rows is looked up by broadcast, as its weight tells. Rows with a null value or holder give nothing; repeated
+    rows count once; extra columns are ignored."""
     rows = df.select(F.col(value).alias("__v"), F.col(holder).alias("__h")).filter("__v is not null and __h is not null")
-    shared = cut(shared_values(rows, "__v", "__h").select("__v", "n"))
+    keyed = rows.withColumn("__k", key(F.col("__v")))
+    shared = cut(shared_values(keyed, ["__k"], "__v", "__h").select("__v", "n"))
     hit = lookup(rows, shared.select("__v"), ["__v"], "left_semi", counts=shared)
     return hit.select(key(F.col("__v")).alias(key_name), F.col("__h").alias(holder)).distinct()

@@ -21,10 +21,10 @@ def dct(n: int = SIDE) -> np.ndarray:
     return 2 * np.cos(np.pi * (2 * x + 1) * k / (2 * n))
 
 
-def coefficients(gray: np.ndarray) -> np.ndarray:
-    """Low-frequency block of a grey picture of SIDE x SIDE."""
+def coefficients(gray: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """Low-frequency block of a square grey picture."""
     m = dct(gray.shape[0])
-    return (m @ gray.astype(float) @ m.T)[:BLOCK, :BLOCK]
+    return (m @ gray.astype(float) @ m.T)[:block, :block]
 
 
 def hashes_of(block: np.ndarray) -> list[bytes]:
@@ -38,17 +38,18 @@ def hashes_of(block: np.ndarray) -> list[bytes]:
     return out
 
 
-def decode(content: bytes) -> tuple[int, int, list[bytes]]:
-    """Width, height and hashes of a picture."""
+def decode(content: bytes, hash_size: int = BLOCK) -> tuple[int, int, list[bytes]]:
+    """Width, height and hashes (hash_size squared bits each) of a picture, scaled to four times ``hash_size``."""
     from PIL import Image, ImageOps  # noqa: PLC0415
 
     with Image.open(io.BytesIO(content)) as img:
         img = ImageOps.exif_transpose(img)
-        gray = np.asarray(img.convert("L").resize((SIDE, SIDE), Image.Resampling.LANCZOS))
-        return img.width, img.height, hashes_of(coefficients(gray))
+        side = SIDE // BLOCK * hash_size
+        gray = np.asarray(img.convert("L").resize((side, side), Image.Resampling.LANCZOS))
+        return img.width, img.height, hashes_of(coefficients(gray, hash_size))
 
 
-def hashed(contents: DataFrame) -> DataFrame:
+def hashed(contents: DataFrame, hash_size: int = BLOCK) -> DataFrame:
     """``path, width, height, variant, phash, error`` of ``contents`` (path, content): eight rows per picture, one with
     the error (500 characters at most) for what cannot be decoded."""
 
@@ -57,7 +58,7 @@ def hashed(contents: DataFrame) -> DataFrame:
             rows = []
             for path, content in zip(b["path"], b["content"]):
                 try:
-                    w, h, found = decode(bytes(content))
+                    w, h, found = decode(bytes(content), hash_size)
                     rows += [(path, w, h, k, x, None) for k, x in enumerate(found)]
                 except Exception as e:  # noqa: BLE001 - any undecodable file is a row with its error
                     rows.append((path, None, None, None, None, f"{type(e).__name__}: {e}"[:500]))
