@@ -84,10 +84,10 @@ def heavy_keys(counts: DataFrame, keys: Sequence[str], heavy_rows: int = HEAVY_R
 
 
 def lookup(rows: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", heavy_rows: int = HEAVY_ROWS, counts: DataFrame | None = None, heavy: list | None = None) -> DataFrame:
-    """``rows`` joined (inner, left_semi or left_anti) to ``small``, which is unique by ``keys``.
+    """``rows`` joined (inner, left, left_semi or left_anti) to ``small``, which is unique by ``keys``.
 
     Heavy keys of ``rows`` never meet in one task: their few ``small`` rows (at most 1 / HEAVY_SHARE, a fixed bound)
-    are broadcast, and only the other keys are shuffled. Null keys match nothing. ``counts`` (keys, n): the rows of
+    are broadcast, and only the other keys are shuffled. Null keys match nothing (and stay, in a left join). ``counts`` (keys, n): the rows of
     each key of ``small``, where they are known already; else they are counted, combining map-side. ``heavy``: the heavy
     keys themselves, where :func:`heavy_keys` gave them before."""
     keys = list(keys)
