@@ -3,7 +3,8 @@
 Each round every vertex hooks to the vertex of its closed neighbourhood that comes first in a fresh hash order; edges
 are relabelled, loops and repeats dropped, and the round repeats on what is left. The hash orders are bijections of
 64-bit numbers, so that a plain MIN finds the neighbour and its inverse names it. At the end the rounds' mappings are
-expanded, last to first. A round's expected number of vertices that still have edges is at most 3/4 of the last one's.
+expanded, last to first. Under random orders a round's expected number of vertices that still have edges is at most 3/4 of
+the last one's; the orders here are keyed hashes, so that this holds as far as they behave like random ones.
 """
 
 from __future__ import annotations
@@ -14,28 +15,38 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.hamming import bucket_links
-from ..shared import cut, drop_cut, lookup, table
+from ..shared import HEAVY_ROWS, cut, drop_cut, lookup, table
 
 
-def _turn(x: Column, by: int) -> Column:
-    return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by))
+_LOW = (1 << 32) - 1
 
 
-def _fold(x: Column) -> Column:
-    """Low half into high half; undoes itself."""
-    return x.bitwiseXOR(F.shiftleft(x, 32))
+def _halves(x: Column) -> tuple[Column, Column]:
+    return F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(_LOW))
+
+
+def _whole(high: Column, low: Column) -> Column:
+    return F.shiftleft(high, 32).bitwiseOR(low)
+
+
+def _keyed(x: Column, key: int) -> Column:
+    return F.xxhash64(x, F.lit(key)).bitwiseAND(F.lit(_LOW))
 
 
 def _order(x: Column, seed: tuple[int, int, int]) -> Column:
-    """A bijection of LONG from turns and folds around a random constant, without arithmetic that can overflow."""
-    c, r, t = seed
-    return _fold(_turn(_fold(_turn(x.bitwiseXOR(F.lit(c)), r)), t))
+    """A bijection of LONG: a Feistel network of three rounds with a keyed hash."""
+    h, low = _halves(x)
+    low = low.bitwiseXOR(_keyed(h, seed[0]))
+    h = h.bitwiseXOR(_keyed(low, seed[1]))
+    return _whole(h, low.bitwiseXOR(_keyed(h, seed[2])))
 
 
 def _unorder(x: Column, seed: tuple[int, int, int]) -> Column:
     """Inverse of :func:`_order`."""
-    c, r, t = seed
-    return _turn(_fold(_turn(_fold(x), 64 - t)), 64 - r).bitwiseXOR(F.lit(c))
+    h, low = _halves(x)
+    low = low.bitwiseXOR(_keyed(h, seed[2]))
+    h = h.bitwiseXOR(_keyed(low, seed[1]))
+    return _whole(h, low.bitwiseXOR(_keyed(h, seed[0])))
 
 
 def contract(edges: DataFrame, seed: int = 7, most_rounds: int = 64) -> DataFrame:
@@ -48,31 +59,32 @@ def contract(edges: DataFrame, seed: int = 7, most_rounds: int = 64) -> DataFram
     all_edges = edges.select("a", "b").filter("a is not null and b is not null")
     loops = all_edges.filter("a = b").select(F.col("a").alias("v")).distinct()
     e = cut(all_edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    maps: list[DataFrame] = []
-    while not e.isEmpty():
+    maps: list[tuple[DataFrame, list | None]] = []
+    while n := e.count():
         if len(maps) == most_rounds:
             raise RuntimeError(f"components unfinished after {most_rounds} rounds")
-        c = (rng.getrandbits(62), rng.randrange(1, 64), rng.randrange(1, 64))
+        c = (rng.getrandbits(62), rng.getrandbits(62), rng.getrandbits(62))
+        none = [] if 2 * n < HEAVY_ROWS else None  # so few edges have no heavy vertex
         both = e.select(F.col("a").alias("v"), _order(F.col("b"), c).alias("h")).unionByName(e.select(F.col("b").alias("v"), _order(F.col("a"), c).alias("h")))
         hook = both.groupBy("v").agg(F.min("h").alias("h"), F.count("*").alias("n"))
         hook = cut(hook.select("v", _unorder(F.least("h", _order(F.col("v"), c)), c).alias("r"), "n"))
-        maps.append(hook)
+        maps.append((hook, none))
         degree = hook.select("v", "n")
         moved = e
         for end in "ab":
             to = hook.select(F.col("v").alias(end), F.col("r").alias("r" + end))
-            moved = lookup(moved, to, [end], counts=degree.withColumnRenamed("v", end)).drop(end)
+            moved = lookup(moved, to, [end], counts=degree.withColumnRenamed("v", end), heavy=none).drop(end)
         new = cut(moved.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
         drop_cut(e)
         e = new
     root = None
-    for hook in reversed(maps):
+    for hook, none in reversed(maps):
         if root is None:
             root = hook.select("v", F.col("r").alias("root"))
         else:
             # a vertex whose hook has no edge left is its own root; every hook that has some is in the later mapping
             later = root.select(F.col("v").alias("r"), "root")
-            root = hook.select("v", "r").join(later, "r", "left").select("v", F.coalesce("root", "r").alias("root"))
+            root = lookup(hook.select("v", "r"), later, ["r"], "left", heavy=none).select("v", F.coalesce("root", "r").alias("root"))
     if root is None:
         return loops.select("v", F.col("v").alias("root"))
     return root.unionByName(loops.join(root, "v", "left_anti").select("v", F.col("v").alias("root")))
