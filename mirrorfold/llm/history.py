@@ -40,7 +40,7 @@ SLOTS = 8192
 BUCKET_CHUNKS = 1_000_000
 #: Pairs of one chunk that are compared at once; more are cut into chunks of their own first.
 PAIRS = 1 << 22
-#: Pairs of one chunk up to which it is compared together with other small ones.
+#: Pairs of one chunk, new hashes with all, up to which it is compared together with other small ones.
 FEW = 1 << 14
 #: Records of a batch up to which their path chunks are handed to the scan, so that it reads their buckets only.
 ASKED = 64
@@ -322,12 +322,15 @@ def _judge_bucket(masks: list[tuple[int, int, int]], radius: int):  # noqa: ANN2
             for s, e in zip(start, end):
                 run = o[s:e]
                 q, h = run[run < n], run[run >= n]
-                if len(q) * len(h) <= FEW:  # small ones all together below
+                if len(q) * len(run) <= FEW:  # small ones all together below, with the same results
                     few.append((q, h))
                     continue
                 for i, _ in close(w1, w2, size, q, h, radius, bits) if len(h) and len(q) else ():
                     best[i] = HISTORY
-                q = q[best[q] >= 0]
+                # what the history has is settled, but later records near it are known by it all the same
+                met, q = q[best[q] == HISTORY], q[best[q] != HISTORY]
+                for i, j in close(w1, w2, size, q, met, radius, bits) if len(q) and len(met) else ():
+                    np.minimum.at(best, i, order[j])
                 for i, j in close(w1, w2, size, q, None, radius, bits) if len(q) > 1 else ():
                     np.minimum.at(best, i, order[j])
                     np.minimum.at(best, j, order[i])

@@ -310,6 +310,50 @@ def test_crowded_chunks_are_cut_again():
         history.PAIRS = pairs
 
 
+def crowd(n, seed):
+    """n hashes that have the first chunk in common, and three more: b and c are near a in four bits each, so that no
+    other chunk is the same in them, and no two others are near."""
+    rng, mask = random.Random(seed), history.kinds_of(4)[0][1]
+    a = rng.getrandbits(64)
+    b, c = (flip(a, [63 - k - 5 * m for k in (1, 2, 3, 4)]) for m in (0, 6))
+    return [rng.getrandbits(64) & ~mask | a & mask for _ in range(n)], a, b, c
+
+
+def test_a_record_near_a_known_one_of_a_crowded_chunk_is_known(spark):
+    many, a, b, c = crowd(9000, 10)
+    raw = lambda x: x.to_bytes(8, "big")
+    files = spark.createDataFrame([], "id BIGINT, path STRING")
+    inc = spark.createDataFrame([(0, 1, "/1", [raw(a)]), (0, 2, "/2", [raw(b)])], INCOMING)
+    for old in (many[:10], many):  # 1 is near c, which is old, and 2 is near 1 only
+        hist = spark.createDataFrame([(raw(x),) for x in [*old, c]], "phash BINARY")
+        assert {r.file_id for r in history.known_records(files, hist, inc).collect()} == {1, 2}
+
+
+@pytest.mark.parametrize("few", [0, 1 << 9, 1 << 14, 1 << 40])
+@pytest.mark.parametrize("olds", [0, 150])
+def test_runs_of_any_size_are_judged_alike(monkeypatch, few, olds):
+    monkeypatch.setattr(history, "FEW", few)
+    small, most = history._small_runs, []
+    monkeypatch.setattr(history, "_small_runs", lambda w1, w2, runs, *rest: (most.extend(len(q) * (len(q) + len(h)) for q, h in runs), small(w1, w2, runs, *rest)))
+    masks, rng = history.kinds_of(4), np.random.default_rng(11)
+    many, a, b, c = crowd(40, 12)
+    x = np.array([*many, a, b, c], np.uint64)
+    free = ~np.uint64(masks[0][1])
+    w = np.unique(x[rng.integers(0, len(x), 400)] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (3, 400), dtype=np.uint64)) & free)
+    rng.shuffle(w)
+    old, new = np.sort(w[:olds]), w[olds:]
+    order = rng.permutation(len(new)).astype(np.int64)
+    row = lambda w1, o: history.pa.Table.from_pylist([{"place": 0, "kind": 0, "w1": w1.tobytes(), "w2": b"", "ord": o}] if len(w1) else [], history.pa.schema([("place", "int32"), ("kind", "int32"), *[(n, "binary") for n in ("w1", "w2", "ord")]]))
+    got = history._judge_bucket(masks, 4)(row(old, b""), row(new, order.tobytes()))
+    near = lambda left, right: np.bitwise_count(left[:, None] ^ right[None, :]) <= 4
+    best = np.where(near(new, new), order[None, :], order.max()).min(1)
+    known = near(new, old).any(1)
+    best = np.where(known, history.HISTORY, best)
+    want = {int(v): int(k) for v, k, o in zip(new, best, order) if k < o}
+    assert {v % 2**64: k for v, k in zip(got["w1"].to_pylist(), got["best"].to_pylist())} == want and len(want) > 50
+    assert max(most, default=0) <= few  # all pairs of the small runs are held at once
+
+
 def test_chunks_follow_content():
     rng = np.random.default_rng(1)
     tail = rng.integers(0, 256, 3000, dtype=np.uint8)
